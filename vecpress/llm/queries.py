@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecpress.llm import bpe, line_dedup, packing
+from vecpress.llm import bpe, line_dedup, packing, warc
+from vecpress.session import materialize
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -46,12 +47,17 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = materialize(warc.write_archives(_table(spark, sf_dir, "pages")), "warc", "uncompressed")
+    return warc.read_archives(archives, payload=False).drop("url")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), WORD_BPE, digests=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op10_bpe": op10_bpe}
+    return {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op7_warc": op7_warc, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
