@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecpress.llm import bpe, line_dedup, packing, warc
+from vecpress.llm import bpe, langid, line_dedup, packing, warc
+from vecpress.llm.sampling import held_out
 from vecpress.session import materialize
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -52,12 +53,18 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives, payload=False).drop("url")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), langid.learn(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), WORD_BPE, digests=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op7_warc": op7_warc, "op10_bpe": op10_bpe}
+    return {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op7_warc": op7_warc, "op8_language_id": op8_language_id, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
