@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecpress.llm import bpe, langid, line_dedup, packing, warc
+from vecpress.llm import bpe, crf, langid, line_dedup, packing, warc
 from vecpress.llm.sampling import held_out
 from vecpress.session import materialize
 
@@ -48,6 +48,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = crf.score(docs.select("doc_id", "text"), crf.learn(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = materialize(warc.write_archives(_table(spark, sf_dir, "pages")), "warc", "uncompressed")
     return warc.read_archives(archives, payload=False).drop("url")
@@ -64,7 +70,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op7_warc": op7_warc, "op8_language_id": op8_language_id, "op10_bpe": op10_bpe}
+    return {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op3_quality": op3_quality, "op7_warc": op7_warc, "op8_language_id": op8_language_id, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
