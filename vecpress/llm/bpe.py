@@ -61,14 +61,6 @@ def encode_words(path: str, words: pa.Array, step: int = 20_000) -> tuple[np.nda
     return np.concatenate(ids or [np.zeros(0, np.uint32)]), np.concatenate(sizes or [np.zeros(0, np.int32)])
 
 
-def lay_out(codes: np.ndarray, offsets: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of texts by the position of their words, and the offsets of each text's ids."""
-    starts = np.cumsum(sizes, dtype=np.int64) - sizes
-    per_word = sizes[codes].astype(np.int64)
-    at = np.concatenate([[0], np.cumsum(per_word)])[offsets]
-    return ids[spans(starts[codes], per_word)], at
-
-
 # -- compact columns ------------------------------------------------------------------------------
 
 
@@ -278,17 +270,14 @@ def _tokens(path: str):
 
 
 def _schema_ddl(schema: pa.Schema) -> str:
-    kinds = {pa.int64(): "long", pa.string(): "string", pa.list_(pa.int64()): "array<long>"}
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.list_(pa.int64()): "array<long>", pa.list_(pa.int32()): "array<int>"}
     return ", ".join(f"`{f.name}` {kinds[f.type]}" for f in schema)
 
 
-def encode(docs: DataFrame, path: str, shards: int | None = None, digests: bool = False) -> DataFrame:
-    """Encode and decode ``docs(doc_id, text)`` with the vocabulary file at ``path``.
+def through_words(docs: DataFrame, path: str, make, schema: pa.Schema, shards: int | None = None) -> DataFrame:
+    """Encode ``docs(doc_id, text)`` and hand bounded groups of documents to ``make(doc_ids, ids, offsets)``,
+    which returns their rows as a table of ``schema``.
 
-    Returns one row for each row of ``docs``: ``doc_id, ids, decoded``, or with ``digests`` the
-    columns ``doc_id, n_tokens, ids_sha256, decoded_sha256``. Other columns of ``docs`` are ignored.
-    Null and empty texts have no ids and decode to an empty text. A null doc_id is kept; repeated
-    rows each give a row. Very long texts form a block of their own. An empty table gives no row.
     ``docs`` is read twice and must read the same each time, as files do; otherwise an error is
     raised rather than a wrong result returned.
     """
@@ -299,6 +288,17 @@ def encode(docs: DataFrame, path: str, shards: int | None = None, digests: bool
     lists = src.mapInArrow(_word_lists(shards), PIECES)
     coded = lists.groupBy("shard").applyInArrow(_encode_shard(path), PIECES)
     heads = src.mapInArrow(_documents, PIECES)
+    return heads.unionByName(coded).groupBy("block").applyInArrow(_join_block(make, schema), _schema_ddl(schema))
+
+
+def encode(docs: DataFrame, path: str, shards: int | None = None, digests: bool = False) -> DataFrame:
+    """Encode and decode ``docs(doc_id, text)`` with the vocabulary file at ``path``.
+
+    Returns one row for each row of ``docs``: ``doc_id, ids, decoded``, or with ``digests`` the
+    columns ``doc_id, n_tokens, ids_sha256, decoded_sha256``. Other columns of ``docs`` are ignored.
+    Null and empty texts have no ids and decode to an empty text. A null doc_id is kept; repeated
+    rows each give a row. Very long texts form a block of their own. An empty table gives no row.
+    """
     schema = DIGESTS if digests else TOKENS
     make = (_digests if digests else _tokens)(path)
-    return heads.unionByName(coded).groupBy("block").applyInArrow(_join_block(make, schema), _schema_ddl(schema))
+    return through_words(docs, path, make, schema, shards)

@@ -18,9 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecpress.llm.blocks import one, split_words, text_blocks
-from vecpress.llm.bpe import encode_words, lay_out
-from vecpress.session import materialize, ship_package
+from vecpress.llm.bpe import through_words
+from vecpress.session import materialize
 
 # -- the plan: runs of equal lengths in groups of equal bins ---------------------------------------
 
@@ -187,58 +186,28 @@ def slots(groups: list[Group]) -> dict[str, np.ndarray]:
 
 # -- pieces of documents ----------------------------------------------------------------------------
 
-#: Words whose ids a worker keeps between blocks.
-KEPT_WORDS = 250_000
-_kept: dict[str, dict[str, bytes]] = {}
+PIECE = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 
 
-def _word_ids(path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and number of ids of distinct words, through a bounded cache of the worker."""
-    kept = _kept.setdefault(path, {})
-    listed = words.to_pylist()
-    new = [w for w in listed if w not in kept]
-    own = kept
-    if new:
-        ids, sizes = encode_words(path, pa.array(new, pa.string()))
-        raw, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes, dtype=np.int64) * 4
-        fresh = {w: raw[a:b] for w, a, b in zip(new, [0, *ends[:-1].tolist()], ends.tolist())}
-        own = {**kept, **fresh} if len(kept) + len(fresh) > KEPT_WORDS else (kept.update(fresh) or kept)
-        if own is not kept:
-            got = [own[w] for w in listed]
-            kept.clear()
-            kept.update(dict(list(fresh.items())[: KEPT_WORDS // 2]))
-            return np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got)) // 4
-    got = [own[w] for w in listed]
-    return np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got)) // 4
+def _cut(capacity: int, end_id: int, schema: pa.Schema):
+    def make(doc_ids: pa.Array, ids: np.ndarray, at: np.ndarray) -> pa.Table:
+        ids = np.insert(ids, at[1:], end_id).astype("<u4")
+        at = at + np.arange(len(at))
+        total = np.diff(at)
+        pieces = -(-total // capacity)
+        doc = np.repeat(np.arange(len(total)), pieces)
+        piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = piece * capacity
+        length = np.minimum(capacity, total[doc] - start)
+        first = at[doc] + start
+        raw = memoryview(ids).cast("B")
+        crc = np.fromiter((zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(first.tolist(), length.tolist())), np.int64, len(doc))
+        columns = [doc_ids.take(pa.array(doc)).cast(pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+        if "ids" in schema.names:  # pieces follow one another without gaps
+            columns.append(pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32))))
+        return pa.table(columns, schema=schema)
 
-
-PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-
-
-def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in text_blocks(batches):
-            words, codes, offsets = split_words(one(table.column("text")))
-            ids, at = lay_out(codes, offsets, *_word_ids(path, words))
-            ids = np.insert(ids, at[1:], end_id).astype("<u4")
-            at = at + np.arange(len(at))
-            total = np.diff(at)
-            pieces = -(-total // capacity)
-            doc = np.repeat(np.arange(len(total)), pieces)
-            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            start = piece * capacity
-            length = np.minimum(capacity, total[doc] - start)
-            first = at[doc] + start
-            raw = memoryview(ids).cast("B")
-            crc = np.fromiter((zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(first.tolist(), length.tolist())), np.int64, len(doc))
-            columns = [one(table.column("doc_id")).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            if with_ids:  # pieces follow one another without gaps
-                columns.append(pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32))))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return run
+    return make
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, ids: bool = False) -> DataFrame:
@@ -247,9 +216,8 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1
     One row per piece: ``doc_id, piece, start, length, ids_crc32`` and on request ``ids``. Null and
     empty texts give the piece of ``end_id`` alone.
     """
-    ship_package(docs.sparkSession)
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(_cut(path, capacity, end_id, ids), PIECE + (", ids array<int>" if ids else ""))
+    schema = pa.schema(PIECE + [("ids", pa.list_(pa.int32()))] * ids)
+    return through_words(docs, path, _cut(capacity, end_id, schema), schema)
 
 
 def _place(table: dict[str, np.ndarray]):
