@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecpress.llm import bpe, crf, langid, line_dedup, packing, warc
+from vecpress.llm import audio, bpe, crf, iblt, langid, line_dedup, packing, warc
 from vecpress.llm.sampling import held_out
 from vecpress.session import materialize
 
@@ -54,6 +54,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.compare_with_next(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = materialize(warc.write_archives(_table(spark, sf_dir, "pages")), "warc", "uncompressed")
     return warc.read_archives(archives, payload=False).drop("url")
@@ -65,12 +69,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = materialize(audio.store(_table(spark, sf_dir, "documents")), "media")
+    return audio.analyse(media, tensors=False)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), WORD_BPE, digests=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op3_quality": op3_quality, "op7_warc": op7_warc, "op8_language_id": op8_language_id, "op10_bpe": op10_bpe}
+    return {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op3_quality": op3_quality, "op5_fingerprints": op5_fingerprints, "op7_warc": op7_warc, "op8_language_id": op8_language_id, "op9_media": op9_media, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
