@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecpress.llm import audio, bpe, crf, iblt, langid, line_dedup, packing, warc
+from vecpress.llm import audio, bpe, crf, iblt, langid, licenses, line_dedup, packing, warc
 from vecpress.llm.sampling import held_out
 from vecpress.session import materialize
 
@@ -58,6 +58,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.compare_with_next(_table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"), licenses.document_path())
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = materialize(warc.write_archives(_table(spark, sf_dir, "pages")), "warc", "uncompressed")
     return warc.read_archives(archives, payload=False).drop("url")
@@ -79,8 +83,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op3_quality": op3_quality, "op5_fingerprints": op5_fingerprints, "op7_warc": op7_warc, "op8_language_id": op8_language_id, "op9_media": op9_media, "op10_bpe": op10_bpe}
+    return {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op3_quality": op3_quality, "op5_fingerprints": op5_fingerprints, "op6_licenses": op6_licenses, "op7_warc": op7_warc, "op8_language_id": op8_language_id, "op9_media": op9_media, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op6_licenses": licenses.oracle_sql()}
