@@ -1,0 +1,35 @@
+"""Connected components by alternating star contractions, without collecting anything."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from vecpress.session import materialize
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node, label`` for each node of ``edges(a, b)``: the smallest node that it is connected with.
+
+    Each turn hangs a node's larger neighbours on its smallest one, then a node and its smaller
+    neighbours on the smallest of them; the edges end as stars around the labels, after a number of
+    turns that grows with the logarithm of the largest component. Minima are taken before rows are
+    dealt by node, and the joins are ones that Spark splits where a node is hot.
+    """
+    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    e = materialize(e, "edges")
+    state = None
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large, "large")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u")
+        small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        e = materialize(small, "small")
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        state = now
+    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

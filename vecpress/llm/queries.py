@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecpress.llm import audio, bpe, crf, iblt, langid, licenses, line_dedup, packing, warc
+from vecpress.llm import audio, bpe, crf, iblt, jaccard, langid, licenses, line_dedup, packing, warc
 from vecpress.llm.sampling import held_out
 from vecpress.session import materialize
 
@@ -54,6 +54,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), jaccard.Settings(words=3, num=90, den=100))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.compare_with_next(_table(spark, sf_dir, "documents"))
 
@@ -83,7 +87,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op3_quality": op3_quality, "op5_fingerprints": op5_fingerprints, "op6_licenses": op6_licenses, "op7_warc": op7_warc, "op8_language_id": op8_language_id, "op9_media": op9_media, "op10_bpe": op10_bpe}
+    return {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op3_quality": op3_quality, "op4_jaccard": op4_jaccard, "op5_fingerprints": op5_fingerprints, "op6_licenses": op6_licenses, "op7_warc": op7_warc, "op8_language_id": op8_language_id, "op9_media": op9_media, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
