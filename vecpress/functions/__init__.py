@@ -1 +1 @@
-
+"""Column expressions, all within the JVM."""

@@ -12,14 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _local_dirs: dict[str, str] = {}
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package, whatever their working folder.
+    """Let Python workers on this machine import the package, whatever their working folder, and hand
+    them smaller batches than by default (a session's own setting stays).
 
     On a cluster the package has to be installed or passed with ``--py-files``; a path that an
     executor doesn't have is ignored there.
     """
+    if spark.conf.get(_BATCH_ROWS) == "10000":  # Spark's own default holds many megabytes of long texts at once
+        spark.conf.set(_BATCH_ROWS, "1000")
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
@@ -57,8 +61,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The files are removed when the returned frame's handle is collected or the session ends; frames
-    derived from it must be used before (``keep`` on the derived frame holds the handle).
+    The files stay until the Python process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vecpress/{name}-{uuid.uuid4().hex}"
