@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vecpress.llm.blocks import one, split_words, text_blocks
-from vecpress.llm.components import components
+from vecpress.operators.components import components
 from vecpress.session import materialize, ship_package
 
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -123,7 +123,7 @@ def _signature(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _first_slice(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in text_blocks(batches):
+        for table in text_blocks(batches, limit=8 << 20):
             x, at = shingle_sets(one(table.column("text")), s.words)
             n = np.diff(at)
             sig1, sig2 = _signature(x, at)
@@ -139,7 +139,7 @@ def _first_slice(s: Settings):
 
 def _whole_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in text_blocks(batches):
+        for table in text_blocks(batches, limit=8 << 20):
             x, at = shingle_sets(one(table.column("text")), k)
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.view(np.int64)))
             yield pa.RecordBatch.from_arrays([one(table.column("doc_id")), pa.array(np.diff(at), pa.int64()), lists], names=["doc_id", "n", "shingles"])
@@ -223,12 +223,12 @@ def _sent(df: DataFrame, s: Settings) -> DataFrame:
     return F.broadcast(df) if df.count() <= s.broadcast_rows else df
 
 
-def links_and_classes(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def links_and_classes(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
     """Sets' sizes and classes of all documents, and links that join the classes' components.
 
     Returns ``sizes(doc_id, n)``, ``members(doc_id, rep)`` for non-empty sets, and ``links(a, b)``
-    between representatives (None without any). Not every link is listed, but those listed have the
-    same components as all links.
+    between representatives with ``labels(node, label)`` of their components (None without any).
+    Not every link is listed, but those listed have the same components as all links.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -252,7 +252,7 @@ def links_and_classes(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFram
     sets = materialize(full.drop("n").join(heads, "doc_id"), "open_sets")
 
     postings = heads.select("doc_id", "n", "own", F.explode("toks").alias("tok"), F.col("doc_id").alias("comp"))
-    links, n_hubs = None, 1
+    links, labels, n_hubs = None, None, 1
     while True:
         # shingles whose documents are in one component are done
         still = postings.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok")
@@ -263,19 +263,31 @@ def links_and_classes(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFram
         hubs = postings.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n_hubs)
         hubs = materialize(hubs.select("tok", "place", F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("own").alias("hub_own"), F.col("comp").alias("hub_comp")), "hubs")
         mine = postings.join(hubs.select("tok", F.col("hub").alias("doc_id"), F.col("place").alias("own_place")), ["tok", "doc_id"], "left")
-        pairs = mine.join(hubs, "tok").filter("comp <> hub_comp and (own_place is null or own_place > place)")
+        apart = F.expr("comp <> hub_comp and (own_place is null or own_place > place)")
+        left, right = mine, hubs
+        if n_hubs > 1:
+            # a pair is compared at the smallest prefix shingle that it shares: each shingle's list
+            # goes on until its documents are compared or in one component, so none is passed over
+            left = mine.join(heads.select("doc_id", "toks"), "doc_id")
+            right = hubs.join(heads.select(F.col("doc_id").alias("hub"), F.col("toks").alias("hub_toks")), "hub")
+            apart = apart & (F.array_min(F.array_intersect("toks", "hub_toks")) == F.col("tok"))
+        pairs = left.join(right, "tok").filter(apart)
         # neither size nor the shingles that no other document has may rule the pair out
         most = F.least(F.col("n") - F.col("own"), F.col("hub_n") - F.col("hub_own"))
         pairs = pairs.filter(s.den * most >= s.num * (F.col("n") + F.col("hub_n") - most)).select("hub", "doc_id").distinct()
         hub_sets = sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("hub_shingles"), F.col("l").alias("hub_l"), F.col("toks").alias("hub_toks"), F.col("levels").alias("hub_levels"))
         both = pairs.join(sets.select("doc_id", "shingles", "l", "toks", "levels"), "doc_id").join(hub_sets, "hub")
         new = materialize(both.mapInArrow(_verify(s), "a long, b long"), "links")
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
+        if new.limit(1).count():
+            links = new if links is None else links.unionByName(new)
+            labels = components(links)
         rest = mine.filter("own_place is null").select("doc_id", "n", "own", "tok")
-        postings = rest.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", "own", "tok", F.coalesce("label", "doc_id").alias("comp"))
+        if labels is None:
+            postings = rest.withColumn("comp", F.col("doc_id"))
+        else:
+            postings = rest.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", "own", "tok", F.coalesce("label", "doc_id").alias("comp"))
         n_hubs *= s.hubs
-    return first.select("doc_id", "n"), members, links
+    return first.select("doc_id", "n"), members, links, labels
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -286,14 +298,13 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     has no component and no links; rows with equal doc_id count as linked. Repeated texts form a
     class; very long texts are taken whole; other columns are ignored; an empty table gives no row.
     """
-    sizes, members, links = links_and_classes(docs, s)
-    labels = members.groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    edges = links
-    if edges is not None:
-        # rows of one doc_id with different texts tie their classes together
-        several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
-        found = components(edges.unionByName(several))
-        labels = labels.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("component_id"))
-    else:
-        labels = labels.withColumnRenamed("rep", "component_id")
+    sizes, members, links, found = links_and_classes(docs, s)
+    owned = members.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
+    # rows of one doc_id with different texts tie their classes together
+    several = owned.filter("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b"))
+    if several.limit(1).count():
+        found = components(several if links is None else links.unionByName(several))
+    labels = owned.select("doc_id", F.col("rep").alias("component_id"))
+    if found is not None:
+        labels = owned.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("component_id"))
     return sizes.join(labels, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
