@@ -188,7 +188,7 @@ def _store(s: Settings):
                 rows.append((len(data), to_wav(padded(data), s.rate)))
                 held.append(i)
                 size += len(rows[-1][1])
-                if size > 16 << 20 or i + 1 == len(b):
+                if size > 4 << 20 or i + 1 == len(b):
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(held)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "n_bytes", "media"])
                     rows, held, size = [], [], 0
 
@@ -223,7 +223,7 @@ def _analyse(s: Settings, tensors: bool):
                     b.column("doc_id")[i].as_py(), b.column("n_bytes")[i].as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]),
                     len(data), hashlib.sha256(data).hexdigest(), f"{len(f.spans)}x{s.frames}x{s.mels}:{seen.hexdigest()[:32]}", len(f.spans), *[ipc] * tensors,
                 ))
-                if len(rows) >= 500 or i + 1 == len(b):
+                if len(rows) >= 200 or i + 1 == len(b):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
                     rows = []
 

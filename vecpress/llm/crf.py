@@ -24,6 +24,10 @@ from vecpress.llm.sampling import held_out, sample_by_class
 from vecpress.session import ship_package
 
 
+#: Bytes of text scored at once.
+SCORED_BYTES = 8 << 20
+
+
 @dataclass(frozen=True)
 class Settings:
     """Bounds of the sample and of training."""
@@ -283,7 +287,7 @@ def score_texts(m: Model, text: pa.Array) -> np.ndarray:
 
 def _numbers(lines: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in text_blocks(batches):
+        for table in text_blocks(batches, limit=SCORED_BYTES):
             own, sizes, offsets = line_numbers(one(table.column("text")))
             parts = [(own[a : min(b, a + lines)].astype("<f4").tobytes(), sizes[a : min(b, a + lines)].astype("<i8").tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays([one(table.column("doc_id")), one(table.column("quality")), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())], names=["doc_id", "quality", "own", "sizes"])
@@ -307,7 +311,7 @@ def learn(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
 
 def _score(m: Model, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in text_blocks(batches):
+        for table in text_blocks(batches, limit=SCORED_BYTES):
             p = score_texts(m, one(table.column("text")))
             new = {"score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))}
             yield pa.RecordBatch.from_arrays([new[n] if n in new else one(table.column(n)) for n in names], names=names)

@@ -28,6 +28,10 @@ UNKNOWN = "und"
 _PRIME = np.uint32(16777619)
 
 
+#: Bytes of text scored at once.
+SCORED_BYTES = 8 << 20
+
+
 @dataclass(frozen=True)
 class Settings:
     """Bounds of the sample and of training."""
@@ -199,7 +203,7 @@ def predict_texts(m: Model, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.
 def _predict(m: Model, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = np.array([*m.classes, UNKNOWN], object)
-        for table in text_blocks(batches):
+        for table in text_blocks(batches, limit=SCORED_BYTES):
             best, top, rejected = predict_texts(m, one(table.column("text")))
             new = {"lang_pred": pa.array(labels[best], pa.string()), "score": pa.array(top), "rejected": pa.array(rejected)}
             yield pa.RecordBatch.from_arrays([new[n] if n in new else one(table.column(n)) for n in names], names=names)
