@@ -47,6 +47,11 @@ def stored_bounds(spark, path: str, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _sums(found: Column, digits: Column) -> Column:
+    """Every sum of one number of each array."""
+    return F.flatten(F.transform(found, lambda a: F.transform(digits, lambda b: a + b)))
+
+
 def membership(vectors: DataFrame, bounds: DataFrame, dims: int, blocks: int, block_range: tuple[int, int] | None = None, prefix: int | None = None) -> DataFrame:
     """``vec_id, block_id, embedding`` for every block that holds a vector, both bounds included.
 
@@ -62,7 +67,7 @@ def membership(vectors: DataFrame, bounds: DataFrame, dims: int, blocks: int, bl
         if prefix is not None and dim >= prefix:
             continue
         digits = F.array_compact(F.array(*[F.when((v >= grid[dim, i][0]) & (v <= grid[dim, i][1]), F.lit(i * mask).cast("long")) for i in range(blocks)]))
-        found = F.flatten(F.transform(found, lambda a, digits=digits: F.transform(digits, lambda b: a + b)))
+        found = _sums(found, digits)
     out = vectors.select("vec_id", "embedding", F.explode(found).alias("block_id"))
     if block_range:
         out = out.filter((F.col("block_id") >= block_range[0]) & (F.col("block_id") < block_range[1]))
@@ -99,6 +104,7 @@ def block_knn(vectors: DataFrame, k: int, dims: int = 5, blocks: int = 3, overla
     every = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
     left = cut.withColumn("other", every).withColumnRenamed("piece", "mine")
     right = cut.withColumn("mine", every).withColumnRenamed("piece", "other")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own, for the cogroup
     pairs = left.groupBy("block_id", "mine", "other").cogroup(right.groupBy("block_id", "mine", "other")).applyInArrow(_within(k), NN)
     return top_k(pairs.distinct(), k)
 

@@ -98,7 +98,7 @@ cost AS (SELECT {by}, CASE WHEN max(len(l)) = 1 THEN max(l[1]) ELSE max(t) END A
 
 
 EDGES = f"{NN}, edges AS (SELECT least(vec_id, nbr_id) AS u, greatest(vec_id, nbr_id) AS v, min(dist) AS dist FROM nn GROUP BY ALL)"
-MST = f"""{EDGES}, numbered AS (SELECT u, v, dist, row_number() OVER (ORDER BY dist, u, v) AS i FROM edges),
+MST = f"""{EDGES}, numbered AS MATERIALIZED (SELECT u, v, dist, row_number() OVER (ORDER BY dist, u, v) AS i FROM edges),
 nodes AS (SELECT list(vec_id ORDER BY vec_id) AS comp FROM embeddings),
 k(i, comp, u, v, dist, kept) AS (
   SELECT 0::BIGINT, comp, NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE, false FROM nodes
@@ -478,7 +478,7 @@ def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(total[s])], names=["symbol", "cnt"])
 
 
-@query(f"""{REC}bytes AS (SELECT substring(x, 2 * i + 1, 2) AS symbol FROM (SELECT hex(encode(text)) AS x FROM documents WHERE text IS NOT NULL), range(strlen(x) // 2) t(i)),
+@query(f"""{REC}bytes AS (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS symbol FROM documents WHERE text IS NOT NULL),
 hist AS (SELECT 0 AS part, symbol, count(*) AS cnt FROM bytes GROUP BY symbol), {_cost('part')} SELECT CAST(bits AS BIGINT) AS bits, CAST(n AS BIGINT) AS n FROM cost""")
 def document_bytes_cost(spark, sf_dir):
     ship_package(spark)
