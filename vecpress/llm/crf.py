@@ -25,7 +25,7 @@ from vecpress.session import ship_package
 
 
 #: Bytes of text scored at once.
-SCORED_BYTES = 8 << 20
+SCORED_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -74,9 +74,9 @@ def line_numbers(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = at - at[0]
     size = np.diff(at)
     kind = _NUMBER[raw]
-    line = np.repeat(np.arange(n, dtype=np.int64) * _K, size)
-    counts = np.bincount(line + kind, minlength=n * _K).reshape(n, _K)
-    calls = np.bincount(line[raw == 33] // _K, minlength=n)
+    line = np.repeat(np.arange(n, dtype=np.int32), size)
+    counts = np.bincount(line * np.int64(_K) + kind, minlength=n * _K).reshape(n, _K)
+    calls = np.bincount(line[raw == 33], minlength=n)
     words = pc.ascii_split_whitespace(lines)
     w_at = words.offsets.to_numpy().astype(np.int64)
     codes = words.values.slice(w_at[0], w_at[-1] - w_at[0]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)

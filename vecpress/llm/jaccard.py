@@ -123,7 +123,7 @@ def _signature(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _first_slice(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in text_blocks(batches, limit=8 << 20):
+        for table in text_blocks(batches, limit=4 << 20):
             x, at = shingle_sets(one(table.column("text")), s.words)
             n = np.diff(at)
             sig1, sig2 = _signature(x, at)
@@ -139,7 +139,7 @@ def _first_slice(s: Settings):
 
 def _whole_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in text_blocks(batches, limit=8 << 20):
+        for table in text_blocks(batches, limit=4 << 20):
             x, at = shingle_sets(one(table.column("text")), k)
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.view(np.int64)))
             yield pa.RecordBatch.from_arrays([one(table.column("doc_id")), pa.array(np.diff(at), pa.int64()), lists], names=["doc_id", "n", "shingles"])

@@ -29,7 +29,7 @@ _PRIME = np.uint32(16777619)
 
 
 #: Bytes of text scored at once.
-SCORED_BYTES = 8 << 20
+SCORED_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -182,7 +182,7 @@ def predict_texts(m: Model, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.
     words, codes, offsets = _lettered(text)
     k = len(m.classes)
     per_word = np.zeros((len(words) + 1, k + 1))  # the last row, for words without a letter, stays 0
-    step = 100_000
+    step = 30_000
     for i in range(0, len(words), step):
         part = words.slice(i, step)
         buckets, owner = subwords(part, m.settings)
