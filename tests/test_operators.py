@@ -111,7 +111,7 @@ def test_forest_and_components(spark, one_task):
     want, labels = brute_forest(60, edges)
     got = {(r.u, r.v) for r in graph.spanning_forest(df, one_task).collect()}
     assert got == want
-    found = dict(components(df.selectExpr("source a", "target b")).collect())
+    found = dict(components(df.selectExpr("source a", "target b"), one_task).collect())
     assert found == {i: labels[i] for i in {x for e in edges for x in e[:2]}}
 
 

@@ -107,7 +107,7 @@ def spanning_forest(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFra
         best = both.groupBy("c").agg(F.min(F.struct("dist", "u", "v", "cu", "cv")).alias("b")).select("b.*").distinct()
         best = materialize(best, "picked")
         picked = best.select("u", "v", "dist") if picked is None else picked.unionByName(best.select("u", "v", "dist"))
-        labels = components(best.select(F.col("cu").alias("a"), F.col("cv").alias("b")))
+        labels = components(best.select(F.col("cu").alias("a"), F.col("cv").alias("b")), min(one_task, ONE_TASK_EDGES))
         for side in ("cu", "cv"):
             e = e.join(labels.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("label", side)).drop("label")
         # of the edges between two components only the first can be picked
