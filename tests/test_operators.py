@@ -145,6 +145,16 @@ def test_round_trip_with_ids(spark, mode, points):
     assert coded == report.first().bits  # raw roots and the first vector included
 
 
+def test_selection_and_child_report(spark, points):
+    v = table(spark, points)
+    assert knn.by_id(v, v.filter("vec_id in (3, 5)")).count() == 2
+    nn = knn.exact_knn(v, 2)
+    forest, tree, report = jobs.spanning_tree(nn, 2, vectors=v)
+    assert report is None and tree.count() == 120
+    r = jobs.tree_children(tree).first()
+    assert r.num_vectors == 120 and r.bits >= 120 and r.k_star >= 2
+
+
 def test_damaged_stream_is_an_error(spark):
     codes = codes_of(spark)
     _, book, chunks = jobs.huffman_encode(codes, 3, context=False)

@@ -31,3 +31,10 @@ def child_count_cost(tree: DataFrame) -> DataFrame:
     """Bits of the numbers of children, and their alphabet."""
     h = child_count_hist(tree)
     return h.agg(huffman.huffman_cost(F.collect_list("cnt")).alias("bits"), F.sum("cnt").alias("n"), (F.max("symbol") + 1).alias("alphabet"))
+
+
+def child_count_report(tree: DataFrame) -> DataFrame:
+    """The report of the numbers of children as one part whose alphabet is the largest number plus one."""
+    cost = child_count_cost(tree).select(F.lit(0).alias("part"), "bits", "n", "alphabet")
+    row = cost.first()
+    return huffman.stats_report(cost.select("part", "bits"), row["n"], 1, k_star=row["alphabet"])

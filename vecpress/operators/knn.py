@@ -21,6 +21,11 @@ SEND_BYTES = 64 << 20
 NN = "vec_id long, nbr_id long, dist double"
 
 
+def by_id(vectors: DataFrame, ids: DataFrame) -> DataFrame:
+    """The vectors with the ids of ``ids(vec_id)``, each once."""
+    return vectors.join(ids.select("vec_id"), "vec_id", "left_semi")
+
+
 def top_k(pairs: DataFrame, k: int) -> DataFrame:
     """The k nearest of ``pairs(vec_id, nbr_id, dist)`` for each vector, numbered. The limit is applied before rows are dealt."""
     w = Window.partitionBy("vec_id").orderBy("dist", "nbr_id")

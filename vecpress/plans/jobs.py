@@ -31,7 +31,7 @@ def estimate_neighbours(codes: DataFrame, nn: DataFrame, parts: int) -> DataFram
 
 
 def spanning_tree(nn: DataFrame, take: int, codes: DataFrame | None = None, penalty: float = 0.0, parts: int | None = None, vectors: DataFrame | None = None):
-    """Forest, preorder and, with codes, the report of its estimated size."""
+    """Forest, preorder and, with codes, the report of its estimated size (``tree_children`` has that of the child counts)."""
     nodes = (vectors if vectors is not None else codes if codes is not None else nn).select("vec_id").distinct()
     forest = materialize(graph.spanning_forest(graph.candidate_edges(nn, take, codes, penalty)), "forest")
     tree = graph.tree_order(nodes, forest)
@@ -43,6 +43,11 @@ def spanning_tree(nn: DataFrame, take: int, codes: DataFrame | None = None, pena
     return forest, tree, report
 
 
+def tree_children(tree: DataFrame) -> DataFrame:
+    """Report of the second stream of a coded tree: the numbers of children."""
+    return estimate.child_count_report(tree)
+
+
 def huffman_encode(codes: DataFrame, parts: int, sort: str = "sorted", context: bool = True, tree: DataFrame | None = None, only_estimate: bool = False, chunk_rows: int = codec.CHUNK_ROWS, seed: int = 0):
     """Report, codebooks and chunks (None with ``only_estimate``). The tree mode never reorders codes."""
     n = codes.count()

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecpress.functions.vectors import l2_sq
@@ -391,6 +391,25 @@ def dfs_order(spark, sf_dir):
     return _tree(spark, sf_dir).select("pos", "vec_id", "parent_id", "root_id")
 
 
+@query(f"{REC}{TREE}, d AS (SELECT t.vec_id, count(x.vec_id) AS symbol FROM tree t LEFT JOIN tree x ON x.parent_id = t.vec_id GROUP BY t.vec_id), hist AS (SELECT 0 AS part, symbol, count(*) AS cnt FROM d GROUP BY symbol), {_cost('part')} SELECT CAST(bits AS BIGINT) AS bits, CAST(n AS BIGINT) AS n, (SELECT max(symbol) + 1 FROM hist) AS alphabet FROM cost")
+def child_count_cost(spark, sf_dir):
+    return _long(estimate.child_count_cost(_tree(spark, sf_dir)), "bits", "n", "alphabet")
+
+
+@query(f"{REC}{MST}, arcs AS (SELECT u AS a, v AS b FROM mst UNION ALL SELECT v, u FROM mst) SELECT a AS source, count(*) AS degree, string_agg(b::VARCHAR, ',' ORDER BY b) AS targets FROM arcs GROUP BY a")
+def forest_adjacency(spark, sf_dir):
+    a = graph.adjacency(_forest(spark, sf_dir))
+    return a.select("source", F.size("targets").cast("long").alias("degree"), F.array_join(F.transform("targets", lambda x: x.cast("string")), ",").alias("targets"))
+
+
+@query(f"WITH {NN} SELECT vec_id, sum(CASE WHEN near THEN 1 ELSE 0 END)::BIGINT AS mutual FROM (SELECT a.vec_id, b.vec_id IS NOT NULL AS near FROM nn a LEFT JOIN nn b ON a.vec_id = b.nbr_id AND a.nbr_id = b.vec_id) GROUP BY vec_id")
+def mutual_neighbours(spark, sf_dir):
+    """How many of a vector's neighbours have it among their own."""
+    nn = _exact(spark, sf_dir)
+    back = nn.select(F.col("nbr_id").alias("vec_id"), F.col("vec_id").alias("nbr_id"), F.lit(1).alias("near"))
+    return nn.join(back, ["vec_id", "nbr_id"], "left").groupBy("vec_id").agg(F.sum(F.coalesce("near", F.lit(0))).cast("long").alias("mutual"))
+
+
 # -- coding ----------------------------------------------------------------------------------------------------------
 
 
