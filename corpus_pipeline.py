@@ -17,7 +17,7 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: A five-word shingle set is a near copy from a similarity of 0.8 on.
 NEAR = jaccard.Settings(words=5, num=80, den=100)
 #: Ids of documents to drop that may be sent to all tasks.
-SENT_ROWS = 2_000_000
+SENT_ROWS = 500_000
 
 
 def _columns(docs: DataFrame, like: DataFrame) -> DataFrame:

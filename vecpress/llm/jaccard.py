@@ -45,7 +45,7 @@ class Settings:
     most_matches: int = 4  # the largest l
     verify_cost: float = 0.02  # of one shingle of a candidate, in prefix postings read
     hubs: int = 16  # times as many in each round
-    broadcast_rows: int = 2_000_000  # ids that may be sent to all tasks
+    broadcast_rows: int = 500_000  # ids that may be sent to all tasks
 
     def prefix(self, n):
         """Length of the base prefix of a set of n."""
