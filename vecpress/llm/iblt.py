@@ -233,7 +233,7 @@ def compare_with_next(docs: DataFrame, cells: int = CELLS, range_bytes: int = 12
     The edit replaces the last half of the code points, rounded down, by the first as many of the
     next document in ascending doc_id (the first one's after the last). Documents are dealt to
     ranges of ids, each with a copy of the first row of the next range, so a range is walked alone;
-    one key per range reaches the driver, for at most 20,000 ranges. Null texts are empty, and an
+    one key per range reaches the driver, for at most 20,000 ranges (at least the session's shuffle partitions). Null texts are empty, and an
     empty text is one empty paragraph; a null doc_id sorts first; rows with equal doc_id follow one
     another in the order of their texts' hashes. A single document is its own next one. An empty
     table gives no row; other columns are ignored.
@@ -246,7 +246,7 @@ def compare_with_next(docs: DataFrame, cells: int = CELLS, range_bytes: int = 12
     ddl = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if not seen["n"]:
         return spark.createDataFrame([], ddl)
-    ranges = min(20_000, max(1, -(-seen["b"] // range_bytes)))
+    ranges = min(20_000, seen["n"], max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-seen["b"] // range_bytes)))
     cuts = sorted(set(src.approxQuantile("_x", [i / ranges for i in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
     dealt = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_x", outputCol="_r").transform(src) if cuts else src.withColumn("_r", F.lit(0))
     dealt = dealt.select("doc_id", "text", "_i", F.col("_r").cast("int").alias("range"), F.xxhash64("text").alias("_h"))
