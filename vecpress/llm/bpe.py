@@ -27,6 +27,8 @@ from vecpress.llm.blocks import one, spans, split_words, text_blocks
 from vecpress.session import ship_package
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+#: Bytes of stored input for each shard of the word table.
+SHARD_INPUT = 16 << 20
 
 
 @lru_cache(maxsize=4)
@@ -130,12 +132,11 @@ def _word_lists(shards: int):
             key, words, _, _ = _cut(table)
             shard = shard_of(words, shards)
             order = np.argsort(shard, kind="stable")
-            ends = np.searchsorted(shard[order], np.arange(shards + 1))
+            present, starts = np.unique(shard[order], return_index=True)
             rows = []
-            for s in range(shards):
-                if own := order[ends[s] : ends[s + 1]].size:
-                    at = np.sort(order[ends[s] : ends[s + 1]])
-                    rows.append((s, pack(word=words.take(pa.array(at)), at=pa.array(at.astype(np.int32)))))
+            for s, a, b in zip(present.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)]):
+                at = order[a:b]  # ascending, as the sort is stable
+                rows.append((s, pack(word=words.take(pa.array(at)), at=pa.array(at.astype(np.int32)))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([key] * len(rows), pa.string()), pa.array([1] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
                 names=["block", "part", "shard", "payload"],
@@ -274,6 +275,13 @@ def _schema_ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {kinds[f.type]}" for f in schema)
 
 
+def shards_for(docs: DataFrame) -> int:
+    """Shards of the word table: the session's shuffle partitions, and more as Spark's estimate of the input grows."""
+    least = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, min(20_000, size // SHARD_INPUT)) if size < 1 << 60 else least
+
+
 def through_words(docs: DataFrame, path: str, make, schema: pa.Schema, shards: int | None = None) -> DataFrame:
     """Encode ``docs(doc_id, text)`` and hand bounded groups of documents to ``make(doc_ids, ids, offsets)``,
     which returns their rows as a table of ``schema``.
@@ -283,7 +291,7 @@ def through_words(docs: DataFrame, path: str, make, schema: pa.Schema, shards: i
     """
     spark = docs.sparkSession
     ship_package(spark)
-    shards = shards or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = shards or shards_for(docs)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lists = src.mapInArrow(_word_lists(shards), PIECES)
     coded = lists.groupBy("shard").applyInArrow(_encode_shard(path), PIECES)
