@@ -6,6 +6,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 import weakref
 
@@ -74,8 +75,10 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished jobs now: its cleaner waits for the driver's garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        time.sleep(0.5)  # listeners hold a job's plan until they have handled its end
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 _tables: list[tuple] = []
