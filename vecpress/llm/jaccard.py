@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from vecpress.llm.blocks import one, split_words, text_blocks
 from vecpress.operators.components import components
-from vecpress.session import materialize, ship_package
+from vecpress.session import materialize, release, ship_package
 
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -242,6 +242,7 @@ def links_and_classes(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFram
     found = _shared(real.select("doc_id", F.explode("slice").alias("tok"))).groupBy("doc_id").agg(F.count_if(F.col("tok") < s.slice_end).alias("shared"))
     open_ = real.select("doc_id", "n", "m").join(found, "doc_id").filter(f"m - shared < {s.prefix_sql}").select("doc_id")
     open_ = materialize(open_.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").distinct(), "open")
+    release(spark)
 
     full = materialize(src.join(_sent(open_, s), "doc_id", "left_semi").mapInArrow(_whole_sets(s.words), "doc_id long, n long, shingles array<long>"), "sets")
     shared = _shared(full.select("doc_id", F.explode("shingles").alias("tok")))
@@ -250,6 +251,7 @@ def links_and_classes(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFram
     kind = "doc_id long, n long, own long, l int, toks array<long>, levels array<int>"
     heads = materialize(lists.select("doc_id", "n", "shared").mapInArrow(_prefixes(s), kind), "prefixes")
     sets = materialize(full.drop("n").join(heads, "doc_id"), "open_sets")
+    release(spark)
 
     postings = heads.select("doc_id", "n", "own", F.explode("toks").alias("tok"), F.col("doc_id").alias("comp"))
     links, labels, n_hubs = None, None, 1
