@@ -147,3 +147,35 @@ def test_license_inheritance_and_odd_rows(spark):
 def test_license_plan_has_no_python(spark, sf):
     plan = op6_licenses(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def wrapped(text, mark="", width=60):
+    import textwrap
+
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
+GNU_HEADER = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+PROSE = "The river rose in the night and the bridge was closed. {} Nobody crossed before the morning came."
+
+
+def test_licenses_of_files_blocks_and_sentences(spark):
+    text = dict(licenses.unit_templates()[-len(licenses.TEXTS) :])
+    cases = [(f"{k}/LICENSE", "Copyright (c) 2020 Jane Doe\n\n" + body, lic) for k, (lic, body) in enumerate(text.items())]
+    cases += [
+        ("x/LICENSE", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", "GPL-2.0"),
+        ("x/a.c", wrapped(GNU_HEADER.format(2), " * ") + "\nint main() { return 0; }", "GPL-2.0"),
+        ("x/b.c", wrapped(GNU_HEADER.format(3), "# ") + "\nimport os", "GPL-3.0"),
+        ("x/c.c", GNU_HEADER.format(2), "GPL-2.0"),
+        ("x/d.c", "import os\n" + wrapped(text["ISC"], "// ") + "\nreturn value", "ISC"),
+        ("x/e.txt", PROSE.format("Released under the MIT License."), "MIT"),
+        ("x/f.txt", PROSE.format("This work is licensed under the GNU General Public License, version 3."), "GPL-3.0"),
+        ("x/g.txt", wrapped(PROSE.format("This program is licensed under the GNU General Public License, version 2."), width=45), "GPL-2.0"),
+        ("y/h.txt", PROSE.format("The driver lost his licence and had no permission to drive."), None),
+    ]
+    docs = spark.createDataFrame([(k, p, t) for k, (p, t, _) in enumerate(cases)], "doc_id long, path string, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    assert [(c[0], got[k].license) for k, c in enumerate(cases)] == [(c[0], c[2]) for c in cases]
+    assert all((got[k].origin == "header") == (c[2] is not None) for k, c in enumerate(cases))
+    assert got[len(text) + 4].line_no == 1 and got[len(text) + 5].line_no == 0
+    assert all(re.search(licenses.ANCHOR, t) for _, t in licenses.unit_templates())
