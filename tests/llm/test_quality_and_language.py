@@ -97,3 +97,39 @@ def test_language_of_odd_rows(spark):
 def test_language_without_labels(spark):
     docs = odd_documents(spark).withColumn("lang", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(None).cast("string"))
     assert {r.lang_pred for r in langid.identify(docs, langid.learn(docs)).collect()} == {"und"}
+
+
+def gibberish():
+    import base64
+
+    rng = np.random.default_rng(4)
+    yield " ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 7)) for _ in range(40))
+    yield base64.b64encode(rng.bytes(300)).decode()
+    yield "for (int i = 0; i < n; i++) { buf[i] = malloc(sizeof(struct node)); ptr->next = NULL; }"
+
+
+FOREIGN = [
+    "La mattina presto il vecchio pescatore scendeva verso il porto e guardava le barche che tornavano lentamente dal mare aperto.",
+    "O homem caminhava pela rua enquanto as crianças brincavam no jardim e não havia ninguém à janela.",
+    "De oude man liep langzaam door de straten van het dorp terwijl de kinderen speelden.",
+    "Vanha mies käveli hitaasti kylän katuja pitkin samalla kun lapset leikkivät puutarhassa.",
+    "Старый человек медленно шёл по улицам города, пока дети играли в саду.",
+]
+
+
+@pytest.mark.parametrize("sf_dir", [SF, "/root/testdata/sf0.1"])
+def test_unlearned_languages_and_gibberish_are_rejected(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    m = langid.learn(docs)
+    _, _, rejected = langid.predict_texts(m, pa.array([*FOREIGN, *gibberish()]))
+    assert rejected.all()
+    seen = [r.text for r in docs.filter("text is not null").orderBy("doc_id").limit(2000).collect()]
+    assert langid.predict_texts(m, pa.array(seen))[2].mean() < 0.01
+
+
+def test_a_language_left_out_is_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for lang in ("de", "fr"):
+        m = langid.learn(docs.filter(f"lang <> '{lang}'"))
+        got = langid.identify(docs.filter(f"lang = '{lang}'"), m).collect()
+        assert np.mean([r.rejected for r in got]) > 0.9

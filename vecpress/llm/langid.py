@@ -3,15 +3,17 @@
 A word's subwords are its byte n-grams, with marks at its ends, hashed into a fixed number of
 buckets. A text is the mean of its subwords' embeddings; a linear softmax on it is trained with the
 embeddings by stochastic gradient descent in numpy, on a bounded sample. A temperature calibrates
-the probabilities on a part of the sample that training doesn't see, and a rejection threshold is
-set there so that at most a stated share of texts is rejected. As the model is linear after the
+the probabilities on a part of the sample that training doesn't see. A text is rejected when its
+best probability or its share of known subwords is too low: long subwords that several training
+documents hold are known, and the least share lies between those of unseen texts of the learned languages and
+those that texts of each language have when all of it is left out. As the model is linear after the
 mean, a trained bucket is a row of class scores, and each distinct word of a block is scored once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,11 @@ class Settings:
     rate: float = 0.5
     batch: int = 32
     max_rejected: float = 0.001  # share of calibration texts below the rejection threshold
+    known_gram: int = 4  # length of the subwords that are known or not
+    known_buckets: int = 1 << 20
+    known_docs: int = 2  # training documents that hold a known one
+    known_low: float = 0.01  # quantile of calibration texts that stands for the learned languages
+    known_prior: float = 2.0  # known subwords added to each text, for short ones
     seed: int = 7
 
 
@@ -56,6 +63,8 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    known: np.ndarray | None = None  # bit of each long subword's bucket
+    least_known: float = 0.0
 
 
 def subwords(words: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +98,14 @@ def _lettered(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words.filter(pa.array(has)), number[codes], offsets
 
 
+def _long(s: Settings) -> Settings:
+    return replace(s, grams=(s.known_gram,), buckets=s.known_buckets)
+
+
+def _known_share(seen: np.ndarray, n: np.ndarray, s: Settings) -> np.ndarray:
+    return (seen + s.known_prior) / (n + s.known_prior)
+
+
 # -- training ----------------------------------------------------------------------------------------
 
 
@@ -160,9 +177,52 @@ def train(texts: list[str], labels: list[str], classes: list[str], s: Settings =
     model = Model(s, classes, (emb @ w).astype(np.float32), bias)
     cal_texts, cal_y = _excerpts([texts[i] for i in cal], y[cal], rng)
     _calibrate(model, cal_texts, cal_y, len(cal))
+    _learn_known(model, [texts[i] for i in fit], y[fit], [texts[i] for i in cal], y[cal])
     return model
 
 
+def _long_bags(texts: list[str], s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's long buckets and how often it has them."""
+    words, codes, offsets = _lettered(pa.array(texts, pa.string()))
+    buckets, owner = subwords(words, _long(s))
+    order = np.argsort(owner, kind="stable")
+    buckets, ends = buckets[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
+    out = []
+    for a, b in zip(offsets[:-1], offsets[1:]):
+        own = codes[a:b]
+        parts = [buckets[ends[w] : ends[w + 1]] for w in own[own >= 0]]
+        out.append(np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    return out
+
+
+def _learn_known(m: Model, fit: list[str], fit_y: np.ndarray, cal: list[str], cal_y: np.ndarray) -> None:
+    """Known subwords, and the least share of them: midway between calibration texts as they are and with
+    their language left out; where these overlap, what keeps the calibration texts."""
+    s = m.settings
+    holders = np.zeros(s.known_buckets, np.uint16)  # languages that know the subword
+    only = np.full(s.known_buckets, -1, np.int32)
+    bags = _long_bags(fit, s)
+    for c in range(len(m.classes)):
+        docs = np.zeros(s.known_buckets, np.int32)
+        for i in np.flatnonzero(fit_y == c):
+            docs[bags[i][0]] += 1
+        own = docs >= s.known_docs
+        holders += own
+        only[own] = c
+    known = holders > 0
+    m.known = np.packbits(known)
+    inside, outside = [], []
+    for (ids, n), c in zip(_long_bags(cal, s), cal_y):
+        if len(ids):
+            others = (holders[ids] > 1) | ((holders[ids] == 1) & (only[ids] != c))
+            inside.append(_known_share((n * known[ids]).sum(), n.sum(), s))
+            outside.append(_known_share((n * others).sum(), n.sum(), s))
+    if inside:
+        low, high = np.quantile(inside, s.known_low), np.quantile(outside, 0.99)
+        rest = np.sort(inside)[int(len(inside) * s.max_rejected)] * 0.9
+        m.least_known = float((low + high) / 2 if len(m.classes) > 1 and high < low else rest)
+
+
 def _calibrate(m: Model, texts: list[str], y: np.ndarray, whole: int) -> None:
     """The temperature with the least log loss; the threshold from the whole texts among them."""
     if not texts:
@@ -181,7 +241,8 @@ def predict_texts(m: Model, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.
     """Class number (-1: no letter), probability, and whether the text is rejected."""
     words, codes, offsets = _lettered(text)
     k = len(m.classes)
-    per_word = np.zeros((len(words) + 1, k + 1))  # the last row, for words without a letter, stays 0
+    per_word = np.zeros((len(words) + 1, k + 3))  # the last row, for words without a letter, stays 0
+    known = np.unpackbits(m.known) if m.known is not None else np.ones(m.settings.known_buckets, np.uint8)
     step = 30_000
     for i in range(0, len(words), step):
         part = words.slice(i, step)
@@ -189,15 +250,18 @@ def predict_texts(m: Model, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.
         for c in range(k):
             per_word[i : i + len(part), c] = np.bincount(owner, m.scores[buckets, c], len(part))
         per_word[i : i + len(part), k] = np.bincount(owner, minlength=len(part))
-    sums = np.zeros((len(offsets) - 1, k + 1))
+        buckets, owner = subwords(part, _long(m.settings))
+        per_word[i : i + len(part), k + 1] = np.bincount(owner, minlength=len(part))
+        per_word[i : i + len(part), k + 2] = np.bincount(owner, known[buckets], len(part))
+    sums = np.zeros((len(offsets) - 1, k + 3))
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    for c in range(k + 1):
+    for c in range(k + 3):
         sums[:, c] = np.bincount(doc, per_word[codes, c], len(sums))
     some = sums[:, k] > 0
-    p = _softmax((m.bias + sums[:, :k] / np.maximum(1, sums[:, k:])) / m.temperature) if k else np.zeros((len(sums), 1))
+    p = _softmax((m.bias + sums[:, :k] / np.maximum(1, sums[:, k : k + 1])) / m.temperature) if k else np.zeros((len(sums), 1))
     best = p.argmax(axis=1)
     top = np.where(some & (k > 0), p[np.arange(len(p)), best], 0.0)
-    return np.where(some & (k > 0), best, -1), top, ~some | (top < m.threshold)
+    return np.where(some & (k > 0), best, -1), top, ~some | (top < m.threshold) | (_known_share(sums[:, k + 2], sums[:, k + 1], m.settings) < m.least_known)
 
 
 def _predict(m: Model, names: list[str]):
@@ -225,7 +289,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Add ``lang_pred``, ``score`` (calibrated probability) and ``rejected`` to ``docs(text, ...)``.
 
     A null text, or one without a letter, is ``und`` with score 0 and is rejected; so is every text
-    where the model has no classes. Others are rejected below the model's threshold. Input columns
+    where the model has no classes. Others are rejected below the model's
+    threshold or with too few known subwords, and keep their nearest language in ``lang_pred``. Input columns
     of these names are replaced; a null text comes back empty. Only the text is an input.
     """
     ship_package(docs.sparkSession)
