@@ -133,3 +133,24 @@ def test_a_language_left_out_is_rejected(spark):
         m = langid.learn(docs.filter(f"lang <> '{lang}'"))
         got = langid.identify(docs.filter(f"lang = '{lang}'"), m).collect()
         assert np.mean([r.rejected for r in got]) > 0.9
+
+
+def test_quality_learns_from_lines_beyond_the_first_thirty(spark):
+    bad = "%%% ### 12345 *** !!!"
+    good = "A calm sentence of several plain words that ends well."
+    # both classes start with the same 40 lines and differ only after them
+    rows = [(i, "\n".join([f"Line number {k} of the common opening part." for k in range(40)] + [good if i % 2 else bad] * 60)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    for s in (crf.Settings(), crf.Settings(span=32), crf.Settings(lines=4000)):
+        got = crf.score(docs, crf.learn(docs, labels, s)).collect()
+        assert all(r.predicted == r.doc_id % 2 for r in got)
+
+
+def test_language_learns_from_text_beyond_its_start(spark):
+    start = "12345 67890 " * 200  # no letter in the first 2400 characters
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "lang", f"concat('{start}', text) as text")
+    got = langid.identify(docs, langid.learn(docs)).collect()
+    assert np.mean([r.lang_pred == r.lang for r in got]) > 0.97 and np.mean([r.rejected for r in got]) < 0.01
+    few = langid.learn(docs, langid.Settings(chars=800_000))
+    assert np.mean([r.lang_pred == r.lang for r in langid.identify(docs, few).collect()]) > 0.9

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from vecpress.llm.blocks import one, text_blocks
 from vecpress.llm.sampling import held_out, sample_by_class
-from vecpress.session import ship_package
+from vecpress.session import materialize, ship_package
 
 
 #: Bytes of text scored at once.
@@ -33,7 +33,8 @@ class Settings:
     """Bounds of the sample and of training."""
 
     per_class: int = 1000  # labelled documents of a class to learn from, about
-    lines: int = 30  # of each of them
+    lines: int = 400_000  # of all of them together; more lines mean fewer documents
+    span: int = 1000  # lines of a chain in training; longer documents are several chains
     steps: int = 100
     rate: float = 0.1
     penalty: float = 1e-3
@@ -175,18 +176,22 @@ def train(own: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, s:
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     mean[0], scale[0] = 0, 1
     x = ((x - mean) / scale).astype(np.float64)
-    n = np.diff(offsets)
     weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
+    # every line of a document counts alike: its chains share its weight
+    per_line = weight / np.maximum(1, np.diff(offsets))
+    starts = [np.arange(a, max(b, a + 1), s.span) for a, b in zip(offsets[:-1], offsets[1:])]
+    of = np.repeat(np.arange(len(labels)), [len(a) for a in starts])
+    chain = np.append(np.concatenate(starts), offsets[-1])
+    n, share, chain_labels = np.diff(chain), per_line[of], labels[of]
     w, trans = np.zeros(x.shape[1]), np.zeros((2, 2))
     # chains of one label and similar length are padded together; a chain counts as its class's share over its lines
     groups = []
     for lab in (0, 1):
-        own_lab = np.flatnonzero(labels == lab)
+        own_lab = np.flatnonzero(chain_labels == lab)
         own_lab = own_lab[np.argsort(n[own_lab], kind="stable")]
         groups += [(lab, g) for g in np.array_split(own_lab, 6) if len(g)]
-    share = weight / np.maximum(1, n)
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros((2, 2)), np.zeros((2, 2))]
-    rows = [np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in g]) for _, g in groups]
+    rows = [np.concatenate([np.arange(chain[i], chain[i + 1]) for i in g]) for _, g in groups]
     for step in range(1, s.steps + 1):
         gw, gt = s.penalty * w, s.penalty * trans
         unary = x @ w
@@ -285,11 +290,11 @@ def score_texts(m: Model, text: pa.Array) -> np.ndarray:
 # -- in Spark ----------------------------------------------------------------------------------------
 
 
-def _numbers(lines: int):
+def _numbers():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in text_blocks(batches, limit=SCORED_BYTES):
             own, sizes, offsets = line_numbers(one(table.column("text")))
-            parts = [(own[a : min(b, a + lines)].astype("<f4").tobytes(), sizes[a : min(b, a + lines)].astype("<i8").tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
+            parts = [(own[a:b].astype("<f4").tobytes(), sizes[a:b].astype("<i8").tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays([one(table.column("doc_id")), one(table.column("quality")), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())], names=["doc_id", "quality", "own", "sizes"])
 
     return run
@@ -302,7 +307,11 @@ def learn(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     marked = marked.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample, _ = sample_by_class(marked, "quality", s.per_class, s.seed)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    got = rows.select("doc_id", "quality", "text").mapInArrow(_numbers(s.lines), "doc_id long, quality int, own binary, sizes binary").toPandas().sort_values(["doc_id", "own"])
+    got = materialize(rows.select("doc_id", "quality", "text").mapInArrow(_numbers(), "doc_id long, quality int, own binary, sizes binary"), "line-numbers")
+    n_lines = got.agg(F.sum(F.length("sizes") / 8)).first()[0] or 0
+    if n_lines > s.lines:
+        got, _ = sample_by_class(got, "quality", s.per_class, s.seed + 1, F.length("sizes") / 8, s.lines)
+    got = got.toPandas().sort_values(["doc_id", "own"])
     if not len(got):
         return Model(np.zeros(N_FEATURES), np.zeros((2, 2)), np.zeros(N_FEATURES, np.float32), np.ones(N_FEATURES, np.float32))
     own = [np.frombuffer(b, "<f4").reshape(-1, N_OWN) for b in got["own"]]

@@ -39,7 +39,7 @@ class Settings:
     """Bounds of the sample and of training."""
 
     per_class: int = 1000  # documents of a language to learn from, about
-    chars: int = 2000  # of each of them
+    chars: int = 32_000_000  # of all of them together; longer texts mean fewer documents
     buckets: int = 1 << 15
     dim: int = 16
     grams: tuple[int, ...] = (2, 3, 4)
@@ -279,8 +279,8 @@ def learn(docs: DataFrame, s: Settings = Settings()) -> Model:
     """Learn from a bounded sample of ``docs(doc_id, text, lang)`` outside the held-out fold."""
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample, classes = sample_by_class(rows, "lang", s.per_class, s.seed)
-    got = sample.select("doc_id", F.substring("text", 1, s.chars).alias("text"), "lang").toPandas()
+    sample, classes = sample_by_class(rows, "lang", s.per_class, s.seed, F.length("text"), s.chars)
+    got = sample.select("doc_id", "text", "lang").toPandas()
     got = got.sort_values(["doc_id", "text", "lang"])
     return train(got["text"].tolist(), got["lang"].tolist(), classes, s)
 
