@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import tempfile
-import time
 import uuid
 import weakref
 
@@ -63,22 +61,24 @@ def _remove(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The files stay until the Python process ends.
+    The files stay until ``discard`` or the end of the Python process.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vecpress/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
     _tables.append((weakref.ref(spark), path))
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs now: its cleaner waits for the driver's garbage collection."""
-    for _ in range(2):
-        time.sleep(0.5)  # listeners hold a job's plan until they have handled its end
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+def discard(*stored: DataFrame | None) -> None:
+    """Delete tables that ``materialize`` returned, once nothing that is still to run reads them."""
+    for df in stored:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            _remove(df.sparkSession, path)
+            _tables[:] = [t for t in _tables if t[1] != path]
 
 
 _tables: list[tuple] = []
