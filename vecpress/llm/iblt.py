@@ -21,19 +21,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecpress.llm.hashing import GOLD, mix
 from vecpress.session import ship_package
 
 #: Cells of a stored fingerprint.
 CELLS = 24
-_GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * _M1
-        x = (x ^ (x >> np.uint64(27))) * _M2
-        return x ^ (x >> np.uint64(31))
-
 
 def digests(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Digests of all texts' paragraphs, distinct within a text, and the offsets of each text's."""
@@ -58,18 +50,18 @@ def digests(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     before = np.empty(len(c), np.uint64)
     before[order] = (np.arange(len(c)) - start).astype(np.uint64)
     with np.errstate(over="ignore"):
-        return _mix(h[codes] + before * _GOLD), offsets
+        return mix(h[codes] + before * GOLD), offsets
 
 
 def _cells(d: np.ndarray, cells: int) -> np.ndarray:
     """Three cells of each digest, one in each third."""
     third = cells // 3
     with np.errstate(over="ignore"):
-        return np.stack([(_mix(d + _GOLD * np.uint64(k + 1)) % np.uint64(third)).astype(np.int64) + k * third for k in range(3)])
+        return np.stack([(mix(d + GOLD * np.uint64(k + 1)) % np.uint64(third)).astype(np.int64) + k * third for k in range(3)])
 
 
 def _check(d: np.ndarray) -> np.ndarray:
-    return _mix(d ^ _GOLD)
+    return mix(d ^ GOLD)
 
 
 def tables(d: np.ndarray, owner: np.ndarray, n: int, cells: int, sign: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
