@@ -59,7 +59,8 @@ class Settings:
     broadcast_rows: int = 500_000  # ids that may be sent to all tasks
     often: tuple[int, int] = (1000, 2000)  # a hot shingle is in so many documents, and in so small a part of all
     most_often: int = 1_000_000  # hot shingles sent to all tasks; with more, only hotter ones count as such
-    range_tokens: int = 1_000_000  # shingles counted by one task at once, about
+    ranges: int = 64  # of shingle numbers, at least: few of them grow with the input, and so do the rows a text is split into
+    range_tokens: int = 2_000_000  # shingles counted by one task at once, about
     part: int = 1000  # documents of a shingle that one task compares with its hubs
 
     def prefix(self, n):
@@ -218,7 +219,7 @@ def _messages(s: Settings, end: int, ranges: int, hot: Broadcast, lists: bool):
                 tok, text = tok[~is_hot], text[~is_hot]
             order = np.argsort(tok, kind="stable")
             tok, text = tok[order], text[order]
-            place = tok * np.uint64(ranges) // np.uint64(end) if ranges > 1 else np.zeros(len(tok), np.uint64)
+            place = tok // np.uint64(-(-end // ranges))
             start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(tok) else np.zeros(0, np.int64)
             for a, b in zip(start.tolist(), [*start[1:].tolist(), len(tok)]):
                 send(int(place[a]), 0, tok[a:b], text[a:b])
@@ -386,8 +387,6 @@ def prepare(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFra
     first = materialize(src.mapInArrow(_sizes(s), "doc_id long, n long, sig1 long, sig2 long, often array<long>, counts array<long>"), "sizes")
     hot = spark.sparkContext.broadcast(_hot(first, s))
     members, reps = _representatives(first)
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
     open_, texts = None, src.filter("doc_id is not null")
     for end in s.steps:
         last = end == 2**BITS
@@ -395,7 +394,7 @@ def prepare(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFra
             some = reps if open_ is None else open_
             texts = src.join(_sent(some.select("doc_id", "want", "node"), s), "doc_id")
         total = ((first if open_ is None else open_).agg(F.sum("n")).first()[0] or 0) * end / 2**BITS
-        ranges = max(least, min(2**15, int(total) // s.range_tokens))
+        ranges = max(s.ranges, int(total) // s.range_tokens)
         sent = texts.mapInArrow(_messages(s, end, ranges, hot, last), "place int, payload binary")
         kind = "node long, own long" + ", toks array<long>, dfs array<long>" * last
         counted = sent.groupBy("place").applyInArrow(_count(hot, last), kind)
