@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import empty_documents, odd_documents
 from compare import assert_same
@@ -38,7 +39,7 @@ def test_query_matches_sql(spark, sf):
     assert assert_same(op2_line_dedup(spark, sf), oracle_sql()["op2_line_dedup"], sf) == 200
 
 
-@pytest.mark.parametrize("sizes", [{}, {"send_bytes": 0, "per_shard": 2}, {"per_shard": 3}])
+@pytest.mark.parametrize("sizes", [{}, {"send_bytes": 0, "per_shard": 2}, {"per_shard": 3}, {"send_bytes": 0, "per_task": 2}])
 def test_odd_rows(spark, sizes):
     docs = odd_documents(spark)
     got = line_dedup.drop_repeated_lines(docs, **sizes)
@@ -46,6 +47,25 @@ def test_odd_rows(spark, sizes):
     assert {"lang", "score", "shared", "label"} <= set(got.columns)
 
 
+@pytest.mark.parametrize("sizes", [{}, {"send_bytes": 0, "per_task": 3}])
+def test_columns_with_the_names_of_helpers(spark, sizes):
+    docs = spark.createDataFrame([(i, "a line that all documents share\nown line of number %d" % i, i, "x", -i) for i in range(9)], "doc_id long, text string, _id long, _gone string, shard int")
+    got = line_dedup.drop_repeated_lines(docs, **sizes)
+    assert sorted((r.doc_id, r._id, r._gone, r.shard, r.n_dropped) for r in got.collect()) == [(i, i, "x", -i, int(i > 0)) for i in range(9)]
+
+
+def test_shard_arrays():
+    """Counts and smallest documents are read through the hash; a line that isn't a member is an error."""
+    h = np.random.default_rng(2).integers(0, 2**63, (300, 2))
+    table = pa.table({"shard": [0] * 300, "h1": h[:, 0], "h2": h[:, 1], "first": np.arange(300), "n_docs": np.arange(300) % 3 * 200 + 1})
+    shard = line_dedup.Shard(line_dedup._build(table).column("payload")[0].as_py())
+    h1, h2 = h.T.astype(np.uint64)
+    assert shard.owners(h1, h2).tolist() == [line_dedup.NOT_SHARED if i % 3 == 0 else i for i in range(300)]
+    assert shard.count.dtype == np.uint8 and sorted(set(shard.count.tolist())) == [1, 201, 255]
+    with pytest.raises(RuntimeError):
+        shard.owners(h1, h2 ^ np.uint64(1))
+
+
 def test_empty_table(spark):
     assert line_dedup.drop_repeated_lines(empty_documents(spark)).collect() == []
 

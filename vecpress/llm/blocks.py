@@ -71,3 +71,11 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     out[0] = s[0]
     out[e[:-1]] = s[1:] - (s[:-1] + n[:-1] - 1)
     return np.cumsum(out)
+
+
+def unused(name: str, columns: Iterable[str]) -> str:
+    """A column name that none of ``columns`` has, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -1,11 +1,13 @@
 """Exact line deduplication through sharded minimal perfect hashes.
 
-Line keys are hashed to 128 bits. Hashes found in at least two documents are dealt to shards; each
-shard numbers its hashes without gaps by a minimal perfect hash (cascaded bit vectors with ranks)
-that indexes three arrays: a 64-bit fingerprint, the number of documents, and the smallest
-document. Lines of one document only can't be dropped, so they get no slot: the fingerprint tells
-them from members. Documents probe the arrays; lines are not joined. Arrays up to ``send_bytes``
-together are sent to the executors; larger ones stay sharded and the hashes of lines visit them.
+Line keys are hashed to 128 bits. All distinct hashes are dealt to shards; each shard numbers its
+hashes without gaps by a minimal perfect hash (cascaded bit vectors with ranks) that indexes two
+compact arrays: a 16-bit fingerprint, and the number of documents (up to 255, which means at least
+as many). Where the count is 2 or more, a third array holds the smallest document. Every line of the documents
+is a member, so the count decides; the fingerprint finds documents that changed between reads.
+Documents probe the arrays; lines are not joined. Arrays up to ``send_bytes`` together are sent to
+the executors; larger ones stay sharded and the hashes of lines visit them, those of a shard with
+many in several parts.
 """
 
 from __future__ import annotations
@@ -19,29 +21,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecpress.llm.blocks import one, text_blocks
+from vecpress.llm.blocks import one, text_blocks, unused
 from vecpress.llm.bpe import pack, unpack
-from vecpress.session import materialize, ship_package
+from vecpress.llm.hashing import GOLD, mix
+from vecpress.session import discard, materialize, ship_package
 
-_GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Stands for a missing doc_id: after all others.
 NO_ID = 2**63 - 1
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit numbers."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * _M1
-        x = (x ^ (x >> np.uint64(27))) * _M2
-        return x ^ (x >> np.uint64(31))
-
-
 # -- minimal perfect hash ----------------------------------------------------------------------------
 
 
 def _places(h1: np.ndarray, h2: np.ndarray, level: int, size: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        seed = _GOLD * np.uint64(level + 1)
+        seed = GOLD * np.uint64(level + 1)
         return (mix(h1 + seed) ^ mix(h2 ^ seed)) % np.uint64(size)
 
 
@@ -87,17 +81,19 @@ class Shard:
     def __init__(self, data: bytes):
         x = unpack(data)
         self.mph = Mph([np.frombuffer(b, np.uint8) for b in x.column("levels")[0].as_py()])
-        self.fingerprint = x.column("fingerprint").flatten().to_numpy().view(np.uint64)
+        self.fingerprint = x.column("fingerprint").flatten().to_numpy()
         self.count = x.column("count").flatten().to_numpy()
         self.first = x.column("first").flatten().to_numpy()
+        self.place = np.cumsum(self.count >= 2) - 1  # of a shared line's smallest document
 
     def owners(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """The smallest document of each line; -1 - NO_ID if the line is in one document only."""
-        out = np.full(len(h1), -1 - NO_ID, np.int64)
-        if len(self.fingerprint):
-            at = self.mph.find(h1, h2)
-            member = (at >= 0) & (self.fingerprint[at] == h2)
-            out[member] = self.first[at[member]]
+        """The smallest document of each line; NOT_SHARED if the line is in one document only."""
+        at = self.mph.find(h1, h2)
+        if len(at) and (at.min() < 0 or (self.fingerprint[at] != h2.astype(np.uint16)).any()):
+            raise RuntimeError("a line isn't known: the documents must read the same each time")
+        out = np.full(len(h1), NOT_SHARED, np.int64)
+        shared = self.count[at] >= 2
+        out[shared] = self.first[self.place[at[shared]]]
         return out
 
 
@@ -108,13 +104,13 @@ def _build(table: pa.Table) -> pa.Table:
     h1 = one(table.column("h1")).to_numpy().view(np.uint64)
     h2 = one(table.column("h2")).to_numpy().view(np.uint64)
     levels = build_mph(h1, h2)
-    at = Mph(levels).find(h1, h2)
-    order = np.argsort(at)
+    order = np.argsort(Mph(levels).find(h1, h2))
+    count = np.minimum(one(table.column("n_docs")).to_numpy()[order], 255)
     payload = pack(
         levels=pa.array([[x.tobytes() for x in levels]], pa.list_(pa.binary())),
-        fingerprint=pa.array([h2[order].view(np.int64)], pa.list_(pa.int64())),
-        count=pa.array([one(table.column("n_docs")).to_numpy()[order].astype(np.int64)], pa.list_(pa.int64())),
-        first=pa.array([one(table.column("first")).to_numpy()[order]], pa.list_(pa.int64())),
+        fingerprint=pa.array([h2[order].astype(np.uint16)], pa.list_(pa.uint16())),
+        count=pa.array([count.astype(np.uint8)], pa.list_(pa.uint8())),
+        first=pa.array([one(table.column("first")).to_numpy()[order][count >= 2]], pa.list_(pa.int64())),
     )
     return pa.table({"shard": table.column("shard").slice(0, 1), "payload": pa.array([payload], pa.binary())})
 
@@ -198,11 +194,11 @@ def _probe_shard(key, probes: pa.Table, arrays: pa.Table) -> pa.Table:
     return pa.table(out)
 
 
-def _drop_listed(names: list[str], least: int):
+def _drop_listed(names: list[str], least: int, gone: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in text_blocks(batches):
             lines, offsets, text, long, h1, h2 = lines_of(table, least)
-            lists = one(table.column("_gone"))
+            lists = one(table.column(gone))
             n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
             flat = lists.flatten()
             rows = np.zeros(len(flat), [("d", "<i8"), ("a", "<i8"), ("b", "<i8")])
@@ -217,36 +213,41 @@ def _drop_listed(names: list[str], least: int):
     return run
 
 
-def drop_repeated_lines(docs: DataFrame, least: int = 10, send_bytes: int = 32 << 20, per_shard: int = 100_000) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, least: int = 10, send_bytes: int = 32 << 20, per_shard: int = 100_000, per_task: int = 2_000_000) -> DataFrame:
     """Keep a line that many documents share only in the smallest ``doc_id`` that holds it.
 
     A line's key is the line without ASCII white space at its ends, A-Z in lower case. Keys shorter
     than ``least`` code points always stay. Returns the columns of ``docs`` with the kept lines as
-    ``text``, and ``n_lines`` (before) and ``n_dropped``; input columns of these names are replaced.
+    ``text``, and ``n_lines`` (before) and ``n_dropped``; input columns of these names are replaced,
+    all others stay whatever their names.
     Null and empty texts have one empty line. Rows with equal doc_id count as one document, whose
     shared lines stay in each of them. A null doc_id counts as one document after all others. Empty
-    tables give no row.
+    tables give no row. Very long texts are taken whole. Around ``per_task`` lines probe at once;
+    ``docs`` must read the same each time, as files do.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    docs = docs.drop("n_lines", "n_dropped", "_gone").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+    docs = docs.drop("n_lines", "n_dropped").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     names = schema.fieldNames()
-    found = docs.select("doc_id", "text").mapInArrow(_hashes(least), "h1 long, h2 long, doc_id long")
-    shared = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n_docs")).filter("first < last").drop("last")
-    shared = materialize(shared, "lines")
-    shards = max(1, -(-shared.count() // per_shard))
+    found = materialize(docs.select("doc_id", "text").mapInArrow(_hashes(least), "h1 long, h2 long, doc_id long"), "lines")
+    shards = max(1, -(-found.count() // per_shard))
     shard = F.expr(f"cast(pmod(pmod(h1, {shards}L) + if(h1 < 0, {2**64 % shards}L, 0L), {shards}L) as int)")  # h1 as an unsigned number
-    arrays = materialize(shared.withColumn("shard", shard).groupBy("shard").applyInArrow(_build, "shard int, payload binary"), "mph", "uncompressed")
+    distinct = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.when(F.min("doc_id") < F.max("doc_id"), F.count("*")).otherwise(1).alias("n_docs"))
+    arrays = materialize(distinct.withColumn("shard", shard).groupBy("shard").applyInArrow(_build, "shard int, payload binary"), "mph", "uncompressed")
     size = arrays.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
     if size <= send_bytes:
+        discard(found)
         sent = spark.sparkContext.broadcast({r["shard"]: bytes(r["payload"]) for r in arrays.collect()})
         return docs.mapInArrow(_probe_sent(sent, shards, names, least), schema)
+    # the lines of one shard may be a large part of all: it is copied for each part of its own probes
     probes = found.withColumn("shard", shard)
-    salts = max(1, -(-probes.count() // 2_000_000))  # the lines of one shard may be a large part of all
-    probes = probes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    copies = arrays.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    gone = probes.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(_probe_shard, "doc_id long, h1 long, h2 long")
-    gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("_gone"))
-    joined = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).join(gone.withColumnRenamed("doc_id", "_id"), "_id", "left").drop("_id")
-    return joined.mapInArrow(_drop_listed(names, least), schema)
+    salts = probes.groupBy("shard").agg(F.ceil(F.count("*") / per_task).cast("int").alias("salts"))
+    copies = materialize(arrays.join(salts, "shard").select("shard", "payload", "salts"), "mph", "uncompressed")
+    probes = probes.join(copies.select("shard", "salts"), "shard").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
+    copies = copies.select("shard", "payload", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    hits = probes.select("shard", "salt", "h1", "h2", "doc_id").groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(_probe_shard, "doc_id long, h1 long, h2 long")
+    key, gone = unused("_id", names), unused("_gone", names)
+    hits = hits.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("h1", "h2")).alias(gone))
+    joined = docs.withColumn(key, F.coalesce("doc_id", F.lit(NO_ID))).join(hits, key, "left").drop(key)
+    return joined.mapInArrow(_drop_listed(names, least, gone), schema)
