@@ -38,6 +38,14 @@ def test_small_blocks(spark, monkeypatch):
     assert got == {i: expected(f"word{i % 7} the the, {i}.")[0] for i in range(50)}
 
 
+def test_equal_and_missing_ids_in_separate_blocks(spark):
+    """Blocks of one row each whose ids, offsets and word codes are alike, but not their words."""
+    rows = [(None, "foo bar"), (None, "zoo qux"), (5, "one two"), (5, "three four"), (5, "one two")]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.decoded, list(r.ids)) for r in bpe.encode(docs, WORD_BPE, 3).collect()))
+    assert got == sorted((i or 0, *reversed(expected(t))) for i, t in rows)
+
+
 def test_empty_table(spark):
     assert bpe.encode(empty_documents(spark), WORD_BPE).collect() == []
 

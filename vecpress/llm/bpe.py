@@ -2,8 +2,10 @@
 
 Documents are split into words at ASCII white space, which no token of a white-space-dropping
 vocabulary crosses. A block of documents keeps its words as positions in the block's own word list;
-only those lists travel. Every distinct word of the corpus lands in one shard and is encoded there
-once; its ids go back to the blocks that hold it, and are laid out by position. Decoding joins ids
+only those lists travel, a message for each shard of words that the block has: at most as many as
+it has distinct words, however many shards there are. Every distinct word of the corpus lands in
+one shard and is encoded there once, so a shard holds a frequent word once for each block; the ids
+go back to the blocks that hold the word, and are laid out by position. Decoding joins ids
 to the vocabulary's pieces, a table whose size is that of the vocabulary, whatever the corpus.
 """
 
@@ -12,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import zlib
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecpress.llm.blocks import one, spans, split_words, text_blocks
+from vecpress.llm.hashing import squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
 from vecpress.session import ship_package
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -79,20 +82,6 @@ def unpack(data) -> pa.RecordBatch:
         return r.read_next_batch()
 
 
-def planes(x: np.ndarray) -> list[bytes]:
-    """Codes as zstd bytes of each of their byte planes; frequent codes are small and leave the upper planes flat."""
-    raw = np.ascontiguousarray(x, dtype="<u4").view(np.uint8).reshape(-1, 4)
-    top = 4 if len(x) == 0 or int(x.max()) >> 24 else 3
-    return [pa.compress(np.ascontiguousarray(raw[:, i]).tobytes(), codec="zstd", asbytes=True) for i in range(top)]
-
-
-def unplanes(parts: list[bytes], n: int) -> np.ndarray:
-    raw = np.zeros((n, 4), np.uint8)
-    for i, p in enumerate(parts):
-        raw[:, i] = np.frombuffer(pa.decompress(p, decompressed_size=n, codec="zstd", asbytes=True), np.uint8)
-    return raw.view("<u4").ravel()
-
-
 def by_frequency(words: pa.Array, codes: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """The same words, numbered from the most frequent down (ties as before)."""
     order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
@@ -113,15 +102,38 @@ def shard_of(words: pa.Array, shards: int) -> np.ndarray:
 PIECES = "block string, part int, shard int, payload binary"
 
 
+def _joined(*parts: bytes) -> bytes:
+    return struct.pack(f"<{len(parts)}I", *map(len, parts)) + b"".join(parts)
+
+
+def _parted(data: bytes, n: int) -> list[bytes]:
+    ends = np.cumsum([4 * n, *struct.unpack_from(f"<{n}I", data)]).tolist()
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def _word_message(words: pa.Array, at: np.ndarray) -> bytes:
+    """Words of a block and their ascending places in its list. Words hold no line break."""
+    raw = "\n".join(words.take(pa.array(at)).to_pylist()).encode()
+    return _joined(struct.pack("<I", len(raw)), pa.compress(raw, codec="zstd", asbytes=True), squeeze_sorted(at))
+
+
+def _read_words(data: bytes) -> tuple[list[str], bytes]:
+    size, raw, at = _parted(data, 3)
+    return pa.decompress(raw, decompressed_size=struct.unpack("<I", size)[0], codec="zstd", asbytes=True).decode().split("\n"), at
+
+
 def _cut(table: pa.Table):
-    """A block's key, from what it holds, and its words."""
+    """A block's key, from all that it holds, and its words."""
     text = one(table.column("text"))
     words, codes, offsets = split_words(text)
     key = hashlib.blake2b(digest_size=16)
     ids = table.column("doc_id").to_pylist()
     key.update(repr(ids).encode())
     key.update(np.ascontiguousarray(offsets).tobytes())
-    key.update(np.uint32(zlib.crc32(np.ascontiguousarray(codes))).tobytes())
+    key.update(np.ascontiguousarray(codes))
+    raw = words.cast(pa.large_string())
+    key.update(np.ascontiguousarray(pc.binary_length(raw).to_numpy(zero_copy_only=False)))
+    key.update(raw.buffers()[2] or b"")
     words, codes = by_frequency(words, codes)
     return key.hexdigest(), words, codes, offsets
 
@@ -136,7 +148,7 @@ def _word_lists(shards: int):
             rows = []
             for s, a, b in zip(present.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)]):
                 at = order[a:b]  # ascending, as the sort is stable
-                rows.append((s, pack(word=words.take(pa.array(at)), at=pa.array(at.astype(np.int32)))))
+                rows.append((s, _word_message(words, at)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([key] * len(rows), pa.string()), pa.array([1] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
                 names=["block", "part", "shard", "payload"],
@@ -148,11 +160,10 @@ def _word_lists(shards: int):
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in text_blocks(batches):
         key, words, codes, offsets = _cut(table)
-        parts = planes(codes)
         payload = pack(
             doc_id=pa.array([table.column("doc_id").to_pylist()], pa.list_(pa.int64())),
             offsets=pa.array([offsets], pa.list_(pa.int64())),
-            planes=pa.array([parts], pa.list_(pa.binary())),
+            codes=pa.array([squeeze(codes)], pa.binary()),
             words=pa.array([len(words)], pa.int64()),
         )
         yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([0], pa.int32()), pa.array([-1], pa.int32()), pa.array([payload], pa.binary())], names=["block", "part", "shard", "payload"])
@@ -160,18 +171,18 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _encode_shard(path: str):
     def run(table: pa.Table) -> pa.Table:
-        lists = [unpack(p) for p in table.column("payload").to_pylist()]
-        table_blocks = table.column("block").to_pylist()
-        coded = pa.concat_arrays([x.column("word") for x in lists]).dictionary_encode()
+        lists = [_read_words(p.as_py()) for p in table.column("payload")]
+        coded = pa.array(list(chain.from_iterable(words for words, _ in lists)), pa.string()).dictionary_encode()
         ids, sizes = encode_words(path, coded.dictionary)
         starts = np.cumsum(sizes, dtype=np.int64) - sizes
         codes = coded.indices.to_numpy(zero_copy_only=False)
         rows, done = [], 0
-        for x in lists:
-            own = codes[done : done + len(x)]
-            done += len(x)
+        for words, at in lists:
+            own = codes[done : done + len(words)]
+            done += len(words)
             n = sizes[own]
-            rows.append(pack(at=pa.array([x.column("at").to_numpy()], pa.list_(pa.int32())), n=pa.array([n.astype(np.int32)], pa.list_(pa.int32())), ids=pa.array([ids[spans(starts[own], n.astype(np.int64))]], pa.list_(pa.uint32()))))
+            rows.append(_joined(at, squeeze(n), squeeze(ids[spans(starts[own], n.astype(np.int64))])))
+        table_blocks = table.column("block").to_pylist()
         k = len(rows)
         return pa.table({"block": pa.array(table_blocks, pa.string()), "part": pa.array([1] * k, pa.int32()), "shard": pa.array([0] * k, pa.int32()), "payload": pa.array(rows, pa.binary())})
 
@@ -197,8 +208,8 @@ def _join_block(make, schema: pa.Schema):
             if raw in got:  # repeated blocks, from repeated rows, bring equal lists
                 continue
             got.add(raw)
-            x = unpack(raw)
-            at, n, ids = _flat(x, "at"), _flat(x, "n"), _flat(x, "ids")
+            at, n, ids = _parted(raw, 3)
+            at, n, ids = unsqueeze_sorted(at).astype(np.int64), unsqueeze(n).astype(np.int32), unsqueeze(ids).astype(np.uint32)
             sizes[at] = n
             starts[at] = done + np.cumsum(n, dtype=np.int64) - n
             flat.append(ids)
@@ -211,7 +222,7 @@ def _join_block(make, schema: pa.Schema):
         for head in heads:
             doc_ids = head.column("doc_id").flatten()
             offsets = _flat(head, "offsets")
-            codes = unplanes(head.column("planes")[0].as_py(), int(offsets[-1]))
+            codes = unsqueeze(head.column("codes")[0].as_py()).astype(np.int64)
             step = 4_000_000  # words laid out at once, or those of one document
             i = 0
             while i < len(doc_ids):
@@ -279,7 +290,7 @@ def shards_for(docs: DataFrame) -> int:
     """Shards of the word table: the session's shuffle partitions, and more as Spark's estimate of the input grows."""
     least = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, min(20_000, size // SHARD_INPUT)) if size < 1 << 60 else least
+    return max(least, size // SHARD_INPUT) if size < 1 << 60 else least
 
 
 def through_words(docs: DataFrame, path: str, make, schema: pa.Schema, shards: int | None = None) -> DataFrame:
