@@ -105,6 +105,39 @@ def test_media_of_odd_rows(spark):
     assert audio.analyse(audio.store(empty_documents(spark))).collect() == []
 
 
+def test_stored_tensors_against_plain_loops(spark):
+    """Frames, bands and spans of the stored tensors, recomputed with a written-out Fourier sum."""
+    s = audio.Settings()
+    text = "The quick brown fox jumps over the lazy dog, again and again. " * 40 + "\n" * 900 + "Another part, after a pause. " * 30
+    row = audio.analyse(audio.store(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    batch = audio.from_ipc(row.tensors)
+    tensors = batch.column("log_mel").to_numpy_ndarray()
+    spans = list(zip(batch.column("start_s").to_pylist(), batch.column("end_s").to_pylist()))
+    x = (np.frombuffer(audio.padded(text.encode()), np.uint8).astype(float) - 128) / 128
+    y = audio.resample(x.astype(np.float32), 1, 2).astype(float)
+    top = 2595 * np.log10(1 + s.to_rate / 2 / 700)
+    edge = [700 * (10 ** (top * i / (s.mels + 1) / 2595) - 1) for i in range(s.mels + 2)]
+    t = np.arange(s.window)
+    for part, (start, end) in zip(tensors, spans):
+        first = round(start * s.to_rate / s.hop)
+        frames = round((end * s.to_rate - s.window) / s.hop) + 1 - first
+        for k in (0, frames - 1):
+            cut = y[(first + k) * s.hop : (first + k) * s.hop + s.window]
+            cut = np.append(cut, np.zeros(s.window - len(cut))) * (0.5 - 0.5 * np.cos(2 * np.pi * t / (s.window - 1)))
+            power = [abs((cut * np.exp(-2j * np.pi * f * t / s.window)).sum()) ** 2 for f in range(s.window // 2 + 1)]
+            for band in (0, 7, s.mels - 1):
+                weight = [max(0, min((f * s.to_rate / s.window - edge[band]) / (edge[band + 1] - edge[band]), (edge[band + 2] - f * s.to_rate / s.window) / (edge[band + 2] - edge[band + 1]))) for f in range(s.window // 2 + 1)]
+                want = np.log(np.dot(power, weight) / max(sum(weight), 1e-6) + 1e-6)
+                assert abs(part[k][band] / 100 - want) < 0.02
+        assert (part[frames:] == -1382).all()
+    assert (row.feature, row.n_segments) == (audio.describe(row.tensors)[0], len(spans)) and len(spans) > 1
+
+
+def test_media_without_bytes(spark):
+    got = audio.analyse(spark.createDataFrame([(1, 5, None)], "doc_id long, n_bytes long, media binary")).collect()
+    assert [(r.doc_id, r.n_bytes, r.payload_bytes, r.feature, r.tensors) for r in got] == [(1, 5, None, None, None)]
+
+
 @pytest.mark.parametrize(("up", "down"), [(1, 2), (3, 4), (2, 1), (160, 147)])
 def test_resampling_keeps_a_tone(up, down):
     rate, n = 16000, 8000

@@ -175,6 +175,16 @@ def from_ipc(data: bytes) -> pa.RecordBatch:
         return r.read_next_batch()
 
 
+def describe(data: bytes) -> tuple[str, int]:
+    """Shape and digest of stored tensors and their spans, and how many there are."""
+    batch = from_ipc(data)
+    column = batch.column("log_mel")
+    seen = hashlib.sha256(column.storage.flatten().to_numpy())
+    for span in ("start_s", "end_s"):
+        seen.update(batch.column(span).to_numpy())
+    return f"{'x'.join(map(str, (len(column), *column.type.shape)))}:{seen.hexdigest()[:32]}", len(column)
+
+
 # -- in Spark ------------------------------------------------------------------------------------------
 
 
@@ -204,35 +214,38 @@ def store(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     return src.mapInArrow(_store(s), "doc_id long, n_bytes long, media binary")
 
 
-def _analyse(s: Settings, tensors: bool):
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_segments", *["tensors"] * tensors]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), *[pa.binary()] * tensors]
+def _analyse(s: Settings):
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_segments", "tensors"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            media = b.column("media")
-            rows = []
-            for i in range(len(b)):
-                data = media[i].as_py()
-                payload, _ = from_wav(data)
-                f = features(payload, s)
-                ipc = to_ipc(f) if tensors else None
-                seen = hashlib.sha256(f.tensors.tobytes())
-                seen.update(repr(f.spans).encode())
-                rows.append((
-                    b.column("doc_id")[i].as_py(), b.column("n_bytes")[i].as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]),
-                    len(data), hashlib.sha256(data).hexdigest(), f"{len(f.spans)}x{s.frames}x{s.mels}:{seen.hexdigest()[:32]}", len(f.spans), *[ipc] * tensors,
-                ))
-                if len(rows) >= 200 or i + 1 == len(b):
+            rows, size = [], 0
+            for i, (doc_id, n_bytes) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("n_bytes").to_pylist())):
+                data = b.column("media")[i].as_py()
+                if data is None:
+                    rows.append((doc_id, n_bytes, *[None] * 8))
+                else:
+                    payload, _ = from_wav(data)
+                    tensors = to_ipc(features(payload, s))
+                    feature, n = describe(tensors)
+                    rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, n, tensors))
+                    size += len(tensors)
+                if len(rows) >= 200 or size > 4 << 20 or i + 1 == len(b):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-                    rows = []
+                    rows, size = [], 0
 
     return run
 
 
-def analyse(media: DataFrame, s: Settings = Settings(), tensors: bool = True) -> DataFrame:
-    """Read stored media back: digests, a ``feature`` that names the tensors' shape and digest, and
-    the tensors themselves as an Arrow stream for each row (``from_ipc``)."""
+def analyse(media: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """Read stored media back: digests, the tensors as an Arrow stream for each row (``from_ipc``),
+    and a ``feature`` that names the shape and digest of the tensors and spans in that stream.
+
+    Rows of ``media(doc_id, n_bytes, media)`` are kept as they are, repeated ones too; a null media
+    has nulls in all that would come from it; bytes that aren't 8-bit WAV raise an error; very long
+    clips are taken whole; an empty table gives no row; other columns are ignored.
+    """
     ship_package(media.sparkSession)
-    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_segments int" + ", tensors binary" * tensors
-    return media.mapInArrow(_analyse(s, tensors), ddl)
+    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_segments int, tensors binary"
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_analyse(s), ddl)

@@ -79,7 +79,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = materialize(audio.store(_table(spark, sf_dir, "documents")), "media")
-    return audio.analyse(media, tensors=False)
+    return audio.analyse(media)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
