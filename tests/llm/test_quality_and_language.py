@@ -55,6 +55,72 @@ def test_marginals_against_enumeration(seed):
         assert np.allclose(p[i, :n], want) and np.allclose(q[i, :n], want)
 
 
+@pytest.mark.parametrize("carried", [True, False])
+def test_gradient_against_differences(carried):
+    rng = np.random.default_rng(5)
+    n = [1, 4, 7, 2, 9, 3]
+    offsets, x = np.cumsum([0, *n]), rng.normal(size=(sum(n), 3))
+    chains = crf.chains_of(offsets, rng.integers(1, 90, sum(n)), np.array([1, 0, 1, 0, 1, 0]), 4)
+    w, trans = rng.normal(size=3), rng.normal(size=(2, 2))
+    if not carried:
+        for c in chains:
+            c.relabel(x @ w, trans, 0.9)
+            p = c.target if c.label else 1 - c.target
+            assert ((p * c.sizes * c.on).sum(axis=1) / c.length >= 0.9 - 1e-2).all()
+    w, trans = w + 0.3, trans - 0.2
+    gw, gt, _ = crf.gradient(x, chains, w, trans, 1e-3)
+    loss = lambda a, b: crf.gradient(x, chains, a, b, 1e-3)[2]
+    for i in range(3):
+        e = np.eye(3)[i] * 1e-5
+        assert np.isclose((loss(w + e, trans) - loss(w - e, trans)) / 2e-5, gw[i], atol=1e-6)
+    for i in range(4):
+        e = np.eye(4)[i].reshape(2, 2) * 1e-5
+        assert np.isclose((loss(w, trans + e) - loss(w, trans - e)) / 2e-5, gt.ravel()[i], atol=1e-6)
+
+
+def test_lines_of_mixed_documents_are_told_apart():
+    """Junk lines within good documents are labelled bad, though no line has a label of its own."""
+    rng = np.random.default_rng(6)
+    good, bad = "A calm sentence of several plain words number %d that ends well.", "%%%% ### %d *** !!! |||"
+    texts, labels = [], []
+    for i in range(200):
+        lines = [(good if i % 2 else bad) % rng.integers(1000) for _ in range(20)]
+        if i % 2:
+            lines[5] = bad % rng.integers(1000)
+        texts.append("\n".join(lines))
+        labels.append(i % 2)
+    own, sizes, at = crf.line_numbers(pa.array(texts))
+    m = crf.train([own[a:b] for a, b in zip(at, at[1:])], [sizes[a:b] for a, b in zip(at, at[1:])], np.array(labels))
+    x = (crf.with_neighbours(own, at) - m.mean) / m.scale
+    p = crf._good((x @ m.weights).reshape(200, 20), np.full(200, 20), m.stay)
+    assert (p[1::2, 5] < 0.5).mean() > 0.9 and (np.delete(p[1::2], 5, axis=1) > 0.5).mean() > 0.95 and (p[::2] < 0.5).all()
+
+
+def brute_score(m, text):
+    """A text's score from the model's numbers, line by line and with plain sums over two labels."""
+    own, sizes, at = crf.line_numbers(pa.array([text]))
+    u = ((crf.with_neighbours(own, at) - m.mean) / m.scale).astype(float) @ m.weights
+    a, ahead = np.array([0.0, u[0]]), []
+    for v in u[1:]:
+        ahead.append(a)
+        a = np.array([np.logaddexp(a[0] + m.stay[0, y], a[1] + m.stay[1, y]) + v * y for y in (0, 1)])
+    ahead.append(a)
+    b, q = np.zeros(2), np.zeros(len(u))
+    for i in range(len(u) - 1, -1, -1):
+        z = ahead[i] + b
+        q[i] = np.exp(z[1] - np.logaddexp(*z))
+        b = np.array([np.logaddexp(m.stay[y, 0] + b[0], m.stay[y, 1] + b[1] + u[i]) for y in (0, 1)])
+    mean = np.clip((q * (sizes + 1)).sum() / (sizes + 1).sum(), 1e-6, 1 - 1e-6)
+    return 1 / (1 + np.exp(-(m.slope * np.log(mean / (1 - mean)) + m.shift)))
+
+
+def test_scores_against_brute_force(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    m = crf.learn(docs, labels)
+    rows = crf.score(docs, m).select("doc_id", "text", "score").collect()
+    assert max(abs(brute_score(m, r.text) - r.score) for r in rows) < 1e-3
+
+
 def test_equal_texts_score_equally_alone_and_together(spark):
     m = crf.learn(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]

@@ -1,10 +1,13 @@
 """Document quality from a linear-chain conditional random field over lines.
 
 Every line is labelled good or bad. A line's potentials come from shares of character classes, word
-shapes and repeats in the line and in its neighbours; transitions tie neighbouring labels. Training
-maximises the likelihood of documents' labels, carried to all their lines, by full-batch gradient
-steps in numpy on a bounded sample. Forward-backward marginals of all of a document's lines, weighted
-by line length, give its quality.
+shapes and repeats in the line and in its neighbours; transitions tie neighbouring labels. Only
+documents carry labels, so those of lines are latent. Training starts with each document's label on
+all its lines, each line taken by itself, and then lets most lines decide: of all distributions over labels whose length-weighted
+mean agrees with the document (at least ``agree`` of it is labelled alike), the one nearest to the
+model's own is what the model is fitted to, found anew every few steps. Steps are full-batch
+gradients in numpy on a bounded sample; a part of the sample serves calibration alone.
+Forward-backward marginals of all of a document's lines, weighted by line length, give its quality.
 """
 
 from __future__ import annotations
@@ -38,6 +41,9 @@ class Settings:
     steps: int = 100
     rate: float = 0.1
     penalty: float = 1e-3
+    carried: int = 50  # first steps, with documents' labels on all their lines and no neighbours
+    anew: int = 10  # steps after which lines are labelled anew
+    agree: float = 0.95  # of a document's length
     seed: int = 3
 
 
@@ -138,8 +144,10 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(m, axis) + np.log(np.exp(a - m).sum(axis=axis))
 
 
-def marginals(unary: np.ndarray, length: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of chains padded to one length (chain x line, log odds of good): P(good), expected transitions, log partition."""
+def marginals(unary: np.ndarray, length: np.ndarray, trans: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of chains padded to one length (chain x line, log odds of good): P(good), expected transitions
+    over all chains, each counted by its ``weight``, and log partitions."""
+    weight = np.ones(len(unary)) if weight is None else weight
     b, t = unary.shape
     score = np.stack([np.zeros_like(unary), unary], axis=2)
     alpha, beta = np.empty((b, t, 2)), np.zeros((b, t, 2))
@@ -158,7 +166,7 @@ def marginals(unary: np.ndarray, length: np.ndarray, trans: np.ndarray) -> tuple
         if not on.any():
             break
         e = alpha[on, i - 1][:, :, None] + trans[None] + (score[on, i] + beta[on, i])[:, None, :] - total[on][:, None, None]
-        pairs += np.exp(e).sum(axis=0)
+        pairs += np.tensordot(weight[on], np.exp(e), 1)
     return p, pairs, total
 
 
@@ -169,48 +177,115 @@ def _padded(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, n
 
 
+@dataclass
+class _Chains:
+    """Chains of one label and similar length, padded together."""
+
+    label: int
+    rows: np.ndarray  # of the lines
+    length: np.ndarray
+    share: np.ndarray  # weight of each line of a chain
+    sizes: np.ndarray  # length of each line, as parts of its chain's mean; padded
+    target: np.ndarray  # P(good) that training fits; padded
+    pairs: np.ndarray  # its transitions, by weight
+
+    @property
+    def on(self) -> np.ndarray:
+        return np.arange(self.sizes.shape[1])[None] < self.length[:, None]
+
+    def pad(self, values: np.ndarray) -> np.ndarray:
+        return _padded(values[self.rows], np.concatenate([[0], np.cumsum(self.length)]))[0]
+
+    def relabel(self, unary: np.ndarray, trans: np.ndarray, agree: float) -> None:
+        """The nearest distribution whose length-weighted mean agrees with the label: the model's own, each line shifted by its length."""
+        u, n, sign = self.pad(unary), np.maximum(1, self.length), 1 if self.label else -1
+        low, high = np.zeros(len(u)), np.full(len(u), 30.0)
+
+        def mean(shift):
+            p = _good(u + sign * shift[:, None] * self.sizes, self.length, trans)
+            p = p if self.label else 1 - p
+            return (p * self.sizes * self.on).sum(axis=1) / n
+
+        done = mean(low) >= agree
+        for _ in range(10):
+            mid = (low + high) / 2
+            enough = mean(mid) >= agree
+            low, high = np.where(enough, low, mid), np.where(enough, mid, high)
+        shift = np.where(done, 0, high)
+        self.target, self.pairs, _ = marginals(u + sign * shift[:, None] * self.sizes, self.length, trans, self.share)
+
+
+def gradient(x: np.ndarray, chains: list[_Chains], w: np.ndarray, trans: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of the weighted log loss against the targets, up to the targets' own entropy: by weights and transitions, and the loss."""
+    gt = penalty * trans
+    unary = x @ w
+    off = np.zeros(len(x))
+    loss = 0.5 * penalty * ((w * w).sum() + (trans * trans).sum())
+    for c in chains:
+        u = c.pad(unary)
+        p, pairs, total = marginals(u, c.length, trans, c.share)
+        off[c.rows] = ((p - c.target) * c.share[:, None])[c.on]
+        gt = gt + pairs - c.pairs
+        loss += (c.share * (total - (u * c.target * c.on).sum(axis=1))).sum() - (c.pairs * trans).sum()
+    return penalty * w + x.T @ off, gt, float(loss)
+
+
+def chains_of(offsets: np.ndarray, sizes: np.ndarray, labels: np.ndarray, span: int) -> list[_Chains]:
+    """Chains of at most ``span`` lines in groups; both classes weigh the same, and so do a class's documents."""
+    weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
+    per_line = weight / np.maximum(1, np.diff(offsets))
+    starts = [np.arange(a, max(b, a + 1), span) for a, b in zip(offsets[:-1], offsets[1:])]
+    of = np.repeat(np.arange(len(labels)), [len(a) for a in starts])
+    ends = np.append(np.concatenate(starts), offsets[-1])
+    n, share, label = np.diff(ends), per_line[of], labels[of]
+    out = []
+    for lab in (0, 1):
+        own = np.flatnonzero(label == lab)
+        own = own[np.argsort(n[own], kind="stable")]
+        for g in np.array_split(own, 6):
+            if not len(g):
+                continue
+            rows = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in g])
+            long, length = _padded(sizes[rows] + 1.0, np.concatenate([[0], np.cumsum(n[g])]))
+            long = long * (length / np.maximum(1e-9, long.sum(axis=1)))[:, None]
+            pairs = np.zeros((2, 2))
+            pairs[lab, lab] = (share[g] * np.maximum(0, length - 1)).sum()
+            out.append(_Chains(lab, rows, length, share[g], long, np.full(long.shape, float(lab)), pairs))
+    return out
+
+
 def train(own: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, s: Settings = Settings()) -> Model:
-    """Fit on documents' line numbers; both classes weigh the same."""
-    offsets = np.cumsum([0, *map(len, own)])
-    x = with_neighbours(np.concatenate(own), offsets)
+    """Fit on documents' line numbers; both classes weigh the same. Every fifth document of each class serves calibration alone, where there are ten or more."""
+    rng = np.random.default_rng(s.seed)
+    held = np.zeros(len(labels), bool)
+    for lab in (0, 1):
+        of = rng.permutation(np.flatnonzero(labels == lab))
+        held[of[: len(of) // 5 if len(of) >= 10 else 0]] = True
+    fit = np.flatnonzero(~held)
+    cal = np.flatnonzero(held) if len(set(labels[held].tolist())) == 2 else fit
+    offsets = np.cumsum([0, *(len(own[i]) for i in fit)])
+    x = with_neighbours(np.concatenate([own[i] for i in fit]), offsets)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     mean[0], scale[0] = 0, 1
     x = ((x - mean) / scale).astype(np.float64)
-    weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
-    # every line of a document counts alike: its chains share its weight
-    per_line = weight / np.maximum(1, np.diff(offsets))
-    starts = [np.arange(a, max(b, a + 1), s.span) for a, b in zip(offsets[:-1], offsets[1:])]
-    of = np.repeat(np.arange(len(labels)), [len(a) for a in starts])
-    chain = np.append(np.concatenate(starts), offsets[-1])
-    n, share, chain_labels = np.diff(chain), per_line[of], labels[of]
+    chains = chains_of(offsets, np.concatenate([sizes[i] for i in fit]), labels[fit], s.span)
     w, trans = np.zeros(x.shape[1]), np.zeros((2, 2))
-    # chains of one label and similar length are padded together; a chain counts as its class's share over its lines
-    groups = []
-    for lab in (0, 1):
-        own_lab = np.flatnonzero(chain_labels == lab)
-        own_lab = own_lab[np.argsort(n[own_lab], kind="stable")]
-        groups += [(lab, g) for g in np.array_split(own_lab, 6) if len(g)]
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros((2, 2)), np.zeros((2, 2))]
-    rows = [np.concatenate([np.arange(chain[i], chain[i + 1]) for i in g]) for _, g in groups]
     for step in range(1, s.steps + 1):
-        gw, gt = s.penalty * w, s.penalty * trans
-        unary = x @ w
-        off = np.empty(len(x))
-        for (lab, g), r in zip(groups, rows):
-            u, length = _padded(unary[r], np.concatenate([[0], np.cumsum(n[g])]))
-            p, pairs, _ = marginals(u, length, trans)
-            on = np.arange(u.shape[1])[None] < length[:, None]
-            off[r] = (p[on] - lab) * np.repeat(share[g], n[g])
-            pairs[lab, lab] -= np.maximum(0, length - 1).sum()  # expected transitions less observed ones
-            gt += pairs * float(share[g].mean())
-        gw += x.T @ off
+        if step > s.carried and (step - s.carried) % s.anew == 1:
+            unary = x @ w
+            for c in chains:
+                c.relabel(unary, trans, s.agree)
+        gw, gt, _ = gradient(x, chains, w, trans, s.penalty)
+        if step <= s.carried:  # lines by themselves: with neighbours, a bad line within a good document would be learned as good
+            gw[1 + N_OWN :], gt = 0, np.zeros((2, 2))
         for k, (v, grad) in enumerate(((w, gw), (trans, gt))):
             m1, m2 = moments[2 * k], moments[2 * k + 1]
             m1 += 0.1 * (grad - m1)
             m2 += 0.01 * (grad * grad - m2)
             v -= s.rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-9)
     model = Model(w, trans, mean.astype(np.float32), scale.astype(np.float32))
-    _calibrate(model, own, sizes, offsets, labels)
+    _calibrate(model, [own[i] for i in cal], [sizes[i] for i in cal], np.cumsum([0, *(len(own[i]) for i in cal)]), labels[cal])
     return model
 
 
@@ -301,7 +376,12 @@ def _numbers():
 
 
 def learn(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
-    """Learn from a bounded sample of documents with a label 0 or 1, outside the held-out fold."""
+    """Learn from a bounded sample of documents with a label 0 or 1, outside the held-out fold.
+
+    Other labels, null ids and documents without a label are left out; of several labels of a
+    document the larger counts; repeated rows count as often as they occur; very long documents are
+    several chains; other columns are ignored. Without a sample, the model scores 0.5.
+    """
     ship_package(docs.sparkSession)
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(~held_out() & F.col("quality").isin(0, 1))
     marked = marked.groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -332,7 +412,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """Add ``score`` (0 to 1, higher is better) and ``predicted`` (1 from 0.5 on) to ``docs(text, ...)``.
 
     A null or empty text is one empty line and gets that line's score; a null text comes back empty.
-    Without labels to learn from, every score is 0.5. Input columns of these names are replaced.
+    Without labels to learn from, every score is 0.5. Input columns of these names are replaced, all
+    others stay. Repeated rows score equally, very long texts are scored whole, and an empty table
+    gives no row.
     """
     ship_package(docs.sparkSession)
     docs = docs.drop("score", "predicted").withColumn("text", F.col("text").cast("string"))
