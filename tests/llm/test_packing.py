@@ -54,6 +54,13 @@ def test_empty_table(spark):
     assert packing.pack_documents(empty_documents(spark), WORD_BPE).collect() == []
 
 
+def test_columns_with_the_names_of_helpers(spark):
+    pieces = spark.createDataFrame([(i, 3, "r", -i, 1.5, [i], "x") for i in range(20)], "doc_id long, length int, rank string, _bucket int, _row double, `a b` array<int>, offset string")
+    rows = packing.pack_pieces(pieces, 8).collect()
+    assert sorted((r.doc_id, r.rank, r._bucket, r._row, r["a b"]) for r in rows) == [(i, "r", -i, 1.5, [i]) for i in range(20)]
+    assert check_packed(rows, 8) == 10
+
+
 def test_bad_length_is_an_error(spark):
     with pytest.raises(ValueError):
         packing.pack_pieces(spark.createDataFrame([(1, 9)], "doc_id long, length long"), 8)

@@ -63,6 +63,26 @@ def test_odd_and_empty_documents(spark, tmp_path, empty):
     assert {r.doc_id for r in got} <= {r.doc_id for r in docs.collect()}
 
 
+def test_columns_with_the_names_of_results(spark, sf):
+    names = ["score", "Rejected", "n_lines", "predicted", "lang_pred", "n_dropped", "_key", "_gone", "component_id", "node"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = materialize(docs.selectExpr("*", *[f"doc_id * 10 + {i} as {c}" for i, c in enumerate(names)]), "wide")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf), name)
+        assert docs.columns == [*COLUMNS, *names]
+    rows = docs.collect()
+    assert rows and all(r[c] == r.doc_id * 10 + i for r in rows for i, c in enumerate(names))
+
+
+def test_one_row_of_each_group_stays(spark, sf):
+    same = "the same words stand here again and again for all to read and nothing else is said"
+    other = "quite another text about something that has nothing to do with what the first ones say"
+    rows = [(5, same, "a"), (5, same, "b"), (7, same, "c"), (5, other, "d"), (None, same, "e"), (None, same, "f"), (None, other, "g"), (9, None, "h"), (9, None, "i"), (11, "alone", "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+    got = sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect())
+    assert [i for i, _ in got] == [0, 0, 5, 9, 11] and [t for i, t in got if i == 0] == sorted([same, other])
+
+
 def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "quality", "lines", "near_duplicates", "packing"]
     assert corpus_pipeline.ORACLE_SQL is None and DOCS.startswith("doc_id")

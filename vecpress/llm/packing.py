@@ -17,7 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from vecpress.llm.blocks import unused
 from vecpress.llm.bpe import through_words
 from vecpress.session import materialize
 
@@ -220,17 +222,17 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1
     return through_words(docs, path, _cut(capacity, end_id, schema), schema)
 
 
-def _place(table: dict[str, np.ndarray]):
+def _place(table: dict[str, np.ndarray], ranked: str):
     # one sorted key for (length, rank); ranks stay below 2**40
     keys = (table["length"] << 40) + table["rank"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
+            length, rank = b.column("length").to_numpy(), b.column(ranked).to_numpy()
             at = np.searchsorted(keys, (length << 40) + rank, side="right") - 1
             k = rank - table["rank"][at]
             each = table["each"][at]
-            out = {name: b.column(name) for name in b.schema.names if name != "rank"}
+            out = {name: b.column(name) for name in b.schema.names if name != ranked}
             out["sequence_id"] = pa.array(table["sequence"][at] + k // each)
             out["offset"] = pa.array(table["offset"][at] + k % each * length)
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
@@ -244,22 +246,27 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     ``pieces`` should be a stored table: it is read three times. Rows with equal values may change
     places with one another. Ranks within a length are counted in buckets, so that a length that
     many pieces share is ranked by many tasks. Lengths outside 1..capacity, or null, are an error.
+    Other columns stay, whatever their names, but for those of the results, which are replaced; a
+    map can't be among them. An empty table gives no row.
     """
+    pieces = pieces.drop("sequence_id", "offset").withColumn("length", F.col("length").cast("long"))
     wrong = pieces.filter(F.col("length").isNull() | ~F.col("length").between(1, capacity))
     total = pieces.count()
     if wrong.limit(1).count():
         raise ValueError(f"a piece's length must be from 1 to {capacity}")
     buckets = max(64, -(-total // 100_000))
-    keyed = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*pieces.columns), F.lit(buckets)).cast("int"))
-    counts = keyed.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    bucket, row, base, n, rank = (unused(c, pieces.columns) for c in ("_bucket", "_row", "_base", "_n", "_rank"))
+    keyed = pieces.withColumn(bucket, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in pieces.columns]), F.lit(buckets)).cast("int"))
+    counts = keyed.groupBy("length", bucket).agg(F.count("*").alias(n))
+    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum(n)).collect()}
     table = slots(plan_bins(histogram, capacity))
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_base"))
-    within = Window.partitionBy("length", "_bucket").orderBy(*[c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns] or [F.lit(0)])
-    ranked = keyed.withColumn("_row", F.row_number().over(within)).join(base, ["length", "_bucket"]).select(*pieces.columns, (F.col("_base") + F.col("_row") - 1).cast("long").alias("rank"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInArrow(_place(table), f"{ddl}, sequence_id long, offset long")
+    before = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("length", bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).cast("long").alias(base))
+    within = Window.partitionBy("length", bucket).orderBy(*[c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns] or [F.lit(0)])
+    ranked = keyed.withColumn(row, F.row_number().over(within)).join(bases, ["length", bucket])
+    ranked = ranked.select(*[F.col(f"`{c}`") for c in pieces.columns], (F.col(base) + F.col(row) - 1).cast("long").alias(rank))
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return ranked.mapInArrow(_place(table, rank), schema)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, ids: bool = False) -> DataFrame:
