@@ -21,6 +21,42 @@ def test_every_kind(spark, tmp_path, kind):
     assert sorted(list(r.embedding) for r in some.collect()) == m[:7, 2:4].tolist()
 
 
+def test_append_and_overwrite(spark, tmp_path):
+    vecs.register(spark)
+    path = str(tmp_path / "v")
+
+    def put(ids, mode, parts):
+        df = spark.createDataFrame([(i, [float(i), 0.5]) for i in ids], "vec_id long, embedding array<float>").repartitionByRange(parts, "vec_id").sortWithinPartitions("vec_id")
+        df.write.format("vecs").option("path", path).option("kind", "fvecsl").mode(mode).save()
+
+    def rows():
+        return [int(r.embedding[0]) for r in spark.read.format("vecs").option("path", path).load().orderBy("vec_id").collect()]
+
+    put(range(4), "append", 2)
+    put(range(10, 14), "append", 2)
+    assert rows() == [0, 1, 2, 3, 10, 11, 12, 13]
+    put([7], "overwrite", 1)
+    assert rows() == [7] and len(list((tmp_path / "v").iterdir())) == 1
+    bad = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<float>").coalesce(1)
+    with pytest.raises(Exception):
+        bad.write.format("vecs").option("path", path).mode("overwrite").save()
+    assert rows() == [7] and len(list((tmp_path / "v").iterdir())) == 1
+
+
+def test_tree_and_books_as_tables(spark, tmp_path):
+    t, b = str(tmp_path / "t"), str(tmp_path / "b")
+    targets = [[1, 2], [0], [0], [], [5], [4]]
+    files.write_tree(t, targets)
+    for rows in (2, 100):
+        assert sorted(tuple(r) for r in files.load_tree(spark, t, rows).collect()) == [(i, j) for i, x in enumerate(targets) for j in x]
+    for ctx in ([-1], [0, 1, 2]):
+        hist = spark.createDataFrame([(p, c, s, 1 + s * (p + 1) + max(c, 0)) for p in range(2) for c in ctx for s in range(3)], "part int, ctx int, symbol int, cnt long")
+        book = huffman.codebooks(hist)
+        files.save_books(book, b, 3)
+        want = sorted((r.part, r.ctx, r.symbol, r.bit_length, r.code) for r in book.collect())
+        assert sorted(tuple(r) for r in files.load_books(spark, b).collect()) == want
+
+
 def test_wrong_files(tmp_path):
     p = tmp_path / "x.fvecs"
     vecs.write_rows(str(p), np.ones((3, 4)))

@@ -37,12 +37,17 @@ def raw(symbol: int) -> str:
     return f"{symbol:0{RAW_BITS}b}"
 
 
+def prefix_tables(books: dict[tuple[int, int], dict[int, str]]) -> dict[tuple[int, int], tuple[dict[str, int], list[int]]]:
+    """Of each group its symbols by code, and the lengths that its codes have, ascending."""
+    return {k: ({code: s for s, code in v.items()}, sorted(set(map(len, v.values())))) for k, v in books.items()}
+
+
 class Decoder:
-    """Reads symbols of one stream bit by bit through prefix tables."""
+    """Reads symbols of one stream through prefix tables; the tables of many streams may be made once."""
 
-    def __init__(self, bits: str, books: dict[tuple[int, int], dict[int, str]]):
+    def __init__(self, bits: str, books: dict[tuple[int, int], dict[int, str]], tables: dict | None = None):
         self.bits, self.at = bits, 0
-        self.tables = {k: {code: s for s, code in v.items()} for k, v in books.items()}
+        self.tables = prefix_tables(books) if tables is None else tables
 
     def raw(self) -> int:
         self.at += RAW_BITS
@@ -51,15 +56,14 @@ class Decoder:
         return int(self.bits[self.at - RAW_BITS : self.at], 2)
 
     def symbol(self, part: int, ctx: int = huffman.NO_CTX) -> int:
-        table = self.tables.get((part, ctx))
-        if table is None:
+        found = self.tables.get((part, ctx))
+        if found is None:
             raise ValueError(f"no codes for part {part} after {ctx}")
-        start = self.at
-        longest = max(map(len, table))
-        for end in range(start + 1, min(start + longest, len(self.bits)) + 1):
-            s = table.get(self.bits[start:end])
-            if s is not None:
-                self.at = end
+        table, lengths = found
+        for n in lengths:
+            s = table.get(self.bits[self.at : self.at + n])
+            if s is not None and self.at + n <= len(self.bits):
+                self.at += n
                 return s
         raise ValueError("the stream holds no such code")
 
@@ -121,13 +125,15 @@ def encode_tree(codes: DataFrame, tree: DataFrame, book: DataFrame) -> DataFrame
 def _decode(sent, mode: str, parts: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         books, counts_book = sent.value
+        tables = prefix_tables(books)
+        count_tables = prefix_tables({(0, huffman.NO_CTX): counts_book}) if mode == "tree" else None
         for pdf in batches:
             for r in pdf.itertuples():
-                d = Decoder(unpack_bits(r.data, r.n_bits), books)
+                d = Decoder(unpack_bits(r.data, r.n_bits), books, tables)
                 rows: list[list[int]] = []
                 parent: list[int | None] = []
                 if mode == "tree":
-                    c = Decoder(unpack_bits(r.counts, r.counts_bits), {(0, huffman.NO_CTX): counts_book})
+                    c = Decoder(unpack_bits(r.counts, r.counts_bits), {}, count_tables)
                     parent = parents_from_counts([c.symbol(0) for _ in range(r.n)])
                 for i in range(r.n):
                     if mode == "order0":

@@ -114,7 +114,7 @@ def spanning_forest(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFra
         e = e.filter("cu <> cv").groupBy(F.least("cu", "cv").alias("cu"), F.greatest("cu", "cv").alias("cv")).agg(F.min(F.struct("dist", "u", "v")).alias("b"))
         e = materialize(e.select("b.u", "b.v", "b.dist", "cu", "cv"), "edges")
         n = e.count()
-    rest = e.select("u", "v", "dist", "cu", "cv").mapInArrow(_forest, EDGES).coalesce(1).mapInArrow(_forest, EDGES).select("u", "v", "dist")
+    rest = e.select("u", "v", "dist", "cu", "cv").mapInArrow(_forest, EDGES).repartition(1).mapInArrow(_forest, EDGES).select("u", "v", "dist")
     return rest if picked is None else picked.unionByName(rest)
 
 

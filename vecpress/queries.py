@@ -6,6 +6,7 @@ Distances are rounded where they are results, as engines add numbers in differen
 
 from __future__ import annotations
 
+import os
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
@@ -251,7 +252,7 @@ def pq_reconstruct(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     book = pq.lloyd(v, PARTS, CENTROIDS, 0)
     r = pq.reconstruct(pq.encode(v, book).select("vec_id", "codes"), pq.centroid_table(spark, book))
-    return r.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+    return r.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
 
 
 # -- Huffman statistics ------------------------------------------------------------------------------------------
@@ -413,40 +414,124 @@ def mutual_neighbours(spark, sf_dir):
 # -- coding ----------------------------------------------------------------------------------------------------------
 
 
+ONE_CHUNK = 1 << 40
+
+
 def _roundtrip(spark, sf_dir, mode: str, order: str = "sorted", seed: int = 0) -> DataFrame:
+    """Mismatches after decoding small chunks, and the bits of the streams when each is one chunk."""
     codes = materialize(_codes(spark, sf_dir).select("vec_id", "codes"), "codes")
     tree = None
     if mode == "tree":
         tree = _tree(spark, sf_dir)
         book = materialize(huffman.codebooks(huffman.tree_hist(codes, tree)), "book")
-        chunks = codec.encode_tree(codes, tree, book)
+        chunks = whole = materialize(codec.encode_tree(codes, tree, book), "chunks")
     elif mode == "chained":
         book = materialize(huffman.codebooks(huffman.chained_hist(codes, order, seed)), "book")
-        chunks = codec.encode_chained(codes, book, order, 100, seed)
+        chunks, whole = (codec.encode_chained(codes, book, order, n, seed) for n in (100, ONE_CHUNK))
     else:
         book = materialize(huffman.codebooks(huffman.order0_hist(codes)), "book")
-        chunks = codec.encode_order0(codes, book, order, 100, seed)
-    return codec.mismatches(codec.decode(materialize(chunks, "chunks"), book, mode, PARTS, tree), codes)
+        chunks, whole = (codec.encode_order0(codes, book, order, n, seed) for n in (100, ONE_CHUNK))
+    wrong = codec.mismatches(codec.decode(materialize(chunks, "chunks"), book, mode, PARTS, tree), codes)
+    sizes = whole.agg(F.sum("n_bits").cast("long").alias("n_bits"), F.sum("counts_bits").cast("long").alias("counts_bits"), F.sum(F.octet_length("data")).cast("long").alias("bytes"))
+    return wrong.join(sizes)  # one row each
 
 
-@query("SELECT 0::BIGINT AS mismatches")
+def _sizes(bits: str, counts: str = "0") -> str:
+    return f"SELECT 0::BIGINT AS mismatches, ({bits})::BIGINT AS n_bits, ({counts})::BIGINT AS counts_bits, CAST(ceil(({bits}) / 8.0) AS BIGINT) AS bytes"
+
+
+@query(f"{REC}{ORDER0}, {_cost('part')} {_sizes('SELECT sum(bits) FROM cost')}")
 def codec_roundtrip_order0(spark, sf_dir):
     return _roundtrip(spark, sf_dir, "order0")
 
 
-@query("SELECT 0::BIGINT AS mismatches")
+@query(f"{REC}{SORTED}{CHAIN}, {_cost('part, ctx')} {_sizes(f'SELECT sum(bits) + {8 * PARTS} FROM cost')}")
 def codec_roundtrip_chained(spark, sf_dir):
     return _roundtrip(spark, sf_dir, "chained")
 
 
-@query("SELECT 0::BIGINT AS mismatches")
+DEGREES = f"dhist AS (SELECT symbol, count(*) AS cnt FROM (SELECT t.vec_id, count(x.vec_id) AS symbol FROM tree t LEFT JOIN tree x ON x.parent_id = t.vec_id GROUP BY t.vec_id) GROUP BY symbol)"
+_DEGREE_COST = _cost("part").replace("hist", "(SELECT 0 AS part, cnt FROM dhist)").replace("g AS", "dg AS").replace("h(", "dh(").replace("FROM g", "FROM dg").replace("FROM h", "FROM dh").replace("cost AS", "dcost AS")
+
+
+@query(f"{REC}{TREE_HIST}, {_cost('part, ctx')}, {DEGREES}, {_DEGREE_COST} SELECT 0::BIGINT AS mismatches, ((SELECT sum(bits) FROM cost) + {8 * PARTS} * (SELECT count(*) FROM roots))::BIGINT AS n_bits, (SELECT sum(bits) FROM dcost)::BIGINT AS counts_bits")
 def codec_roundtrip_tree(spark, sf_dir):
-    return _roundtrip(spark, sf_dir, "tree")
+    return _roundtrip(spark, sf_dir, "tree").drop("bytes")
 
 
 @query("SELECT 0::BIGINT AS mismatches")
 def shuffle_encode(spark, sf_dir):
-    return _roundtrip(spark, sf_dir, "chained", "shuffled", 42)
+    """The order is by a hash of Spark's own, so SQL has no bits for it; they are those of the shuffled order's histogram."""
+    codes = materialize(_codes(spark, sf_dir).select("vec_id", "codes"), "codes")
+    cost = huffman.part_cost(huffman.chained_hist(codes, "shuffled", 42)).agg((F.sum("bits") + 8 * PARTS).alias("bits"))
+    got = _roundtrip(spark, sf_dir, "chained", "shuffled", 42)
+    return got.join(cost).select((F.col("mismatches") + F.abs(F.col("n_bits") - F.col("bits"))).cast("long").alias("mismatches"))
+
+
+@query(f"{REC}{SORTED}{CHAIN}, {_cost('part, ctx')} SELECT part::BIGINT AS part, round(sum(bits) / sum(n), 6) AS mean_length FROM cost GROUP BY part")
+def mean_code_length(spark, sf_dir):
+    book = huffman.codebooks(huffman.chained_hist(_codes(spark, sf_dir).select("vec_id", "codes"), "sorted"))
+    return book.groupBy(F.col("part").cast("long").alias("part")).agg(F.round(F.sum(F.col("cnt") * F.col("bit_length")) / F.sum("cnt"), 6).alias("mean_length"))
+
+
+@query(f"WITH {CODES}, pairs3 AS (SELECT a.vec_id, b.vec_id AS other, {_D.format(a='a.embedding', b='b.embedding')} AS d FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) SELECT p.vec_id, round(d, 6) AS d, (SELECT list_sum(list_transform(range({PARTS}), lambda k: (x.codes[k + 1] <> y.codes[k + 1])::INT)) FROM arrays x, arrays y WHERE x.vec_id = p.vec_id AND y.vec_id = p.other)::BIGINT AS hamming FROM pairs3 p")
+def sql_distances(spark, sf_dir):
+    """The SQL functions of distances, on each vector and the next."""
+    from vecpress.plans import sql
+
+    sql.register(spark)
+    both = _vectors(spark, sf_dir).join(_codes(spark, sf_dir).select("vec_id", F.col("codes").cast("array<int>").alias("codes")), "vec_id")
+    both.createOrReplaceTempView("vecpress_vectors")
+    return spark.sql("select a.vec_id, round(l2_sq(a.embedding, b.embedding), 6) as d, cast(code_hamming(a.codes, b.codes) as bigint) as hamming from vecpress_vectors a join vecpress_vectors b on b.vec_id = a.vec_id + 1")
+
+
+@query(f"{REC}{ORDER0}, {_cost('part')} SELECT part::BIGINT AS part, CAST(bits AS BIGINT) AS bits, CAST(bits AS BIGINT) AS coded FROM cost")
+def sql_huffman(spark, sf_dir):
+    """Optimal bits by one SQL function, and those of the codes that another one builds."""
+    from vecpress.plans import sql
+
+    sql.register(spark)
+    huffman.order0_hist(_codes(spark, sf_dir)).createOrReplaceTempView("vecpress_hist")
+    return spark.sql(f"""
+        with h as (select part, transform(sequence(0, {CENTROIDS - 1}), s -> coalesce(element_at(map_from_entries(collect_list(struct(symbol, cnt))), s), 0L)) as counts from vecpress_hist group by part),
+        c as (select part, counts, huffman_codes(counts) as codes from h)
+        select cast(part as bigint) as part, huffman_cost(counts) as bits, cast(aggregate(sequence(0, {CENTROIDS - 1}), 0L, (s, i) -> s + counts[i] * coalesce(length(codes[i]), 0)) as bigint) as coded from c""")
+
+
+@query(f"WITH {NN} SELECT vec_id, rank, nbr_id, round(dist, 4) AS dist FROM nn")
+def neighbour_files_roundtrip(spark, sf_dir):
+    """Exact neighbours written as files of the exchange format, in three parts, and read back."""
+    from vecpress.session import shared_dir
+    from vecpress.sources import files
+
+    root = tempfile.mkdtemp(prefix="nn-", dir=_made(shared_dir(spark)))
+    v = _vectors(spark, sf_dir)
+    files.save_neighbours(v, _exact(spark, sf_dir), K, f"{root}/ids", f"{root}/dist", 3)
+    nn = materialize(files.load_neighbours(spark, f"{root}/ids", f"{root}/dist"), "nn")
+    shutil.rmtree(root)
+    return nn.select("vec_id", F.col("rank").cast("long").alias("rank"), "nbr_id", F.round("dist", 4).alias("dist"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding[9:16], lambda x: x::DOUBLE)), 4) AS sub, len(embedding[9:16])::BIGINT AS dims FROM embeddings ORDER BY vec_id LIMIT 100")
+def vecs_sub_dim_limit(spark, sf_dir):
+    """Dimensions 8 to 15 of the first hundred rows of a file, chosen at the scan."""
+    from vecpress.session import shared_dir
+    from vecpress.sources import vecs
+
+    vecs.register(spark)
+    root = tempfile.mkdtemp(prefix="vecs-", dir=_made(shared_dir(spark)))
+    v = _vectors(spark, sf_dir).repartitionByRange(2, "vec_id").sortWithinPartitions("vec_id")
+    v.write.format("vecs").option("path", f"{root}/x").option("kind", "fvecs").mode("overwrite").save()
+    some = spark.read.format("vecs").option("path", f"{root}/x").option("sub_start", 8).option("sub_dim", 8).option("limit", 100).load()
+    got = materialize(some, "some")
+    shutil.rmtree(root)
+    return got.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("sub"), F.size("embedding").cast("long").alias("dims"))
+
+
+def _made(folder: str) -> str:
+    folder = folder.removeprefix("file://").removeprefix("file:")
+    os.makedirs(folder, exist_ok=True)
+    return folder
 
 
 @query("SELECT 0::BIGINT AS mismatches")
@@ -456,8 +541,7 @@ def vecs_io_roundtrip(spark, sf_dir):
     from vecpress.sources import vecs
 
     vecs.register(spark)
-    base = shared_dir(spark)
-    root = tempfile.mkdtemp(prefix="vecs-", dir=base.removeprefix("file://").removeprefix("file:"))
+    root = tempfile.mkdtemp(prefix="vecs-", dir=_made(shared_dir(spark)))
     v = materialize(_vectors(spark, sf_dir).repartitionByRange(3, "vec_id").sortWithinPartitions("vec_id"), "vectors")
     for kind in ("fvecs", "fvecsl"):
         v.coalesce(1).sortWithinPartitions("vec_id").select("vec_id", "embedding").write.format("vecs").option("path", f"{root}/{kind}").option("kind", kind).mode("append").save()

@@ -7,7 +7,12 @@ from collections.abc import Mapping
 
 import numpy as np
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from vecpress.functions.bits import decode_varint, encode_varint, pack_bits, unpack_bits
+from vecpress.session import ship_package
+from vecpress.sources import vecs
 from vecpress.sources.vecs import read_rows, write_rows
 
 #: Stands for a missing neighbour in result files; its distance is infinite: fixed value.
@@ -129,3 +134,86 @@ def read_grid(path: str) -> tuple[list[tuple[int, int, float, float]], int, int,
         out += [(d, b, float(x[b]), float(x[blocks + b])) for b in range(blocks)]
         at += 12 + 8 * blocks
     return out, dims, blocks, overlap
+
+
+# -- as tables -----------------------------------------------------------------------------------------
+
+
+def load_neighbours(spark: SparkSession, ids_path: str, dist_path: str) -> DataFrame:
+    """``vec_id, rank, nbr_id, dist`` from files or folders of light files, without missing neighbours."""
+    vecs.register(spark)
+    ids, dist = (spark.read.format("vecs").option("path", p).load() for p in (ids_path, dist_path))
+    both = ids.join(dist.select("vec_id", F.col("embedding").alias("dist")), "vec_id")
+    rows = both.select("vec_id", F.posexplode(F.arrays_zip(F.col("embedding").alias("i"), F.col("dist").alias("d"))).alias("at", "x"))
+    nbr = F.col("x.i").cast("long").bitwiseAND(F.lit(MISSING))
+    return rows.select("vec_id", (F.col("at") + 1).cast("int").alias("rank"), nbr.alias("nbr_id"), F.col("x.d").cast("double").alias("dist")).filter(F.col("nbr_id") != MISSING)
+
+
+def save_neighbours(vectors: DataFrame, nn: DataFrame, k: int, ids_path: str, dist_path: str, parts: int = 1) -> None:
+    """``nn(vec_id, rank, nbr_id, dist)`` as two folders of light files, a row for each of ``vectors(vec_id)``
+    by ascending vec_id, which should be 0, 1, ... Lists are filled up with missing neighbours."""
+    vecs.register(vectors.sparkSession)
+    near = nn.filter(F.col("rank") <= k).groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("rank", "nbr_id", "dist"))).alias("l"))
+    rows = vectors.select("vec_id").join(near, "vec_id", "left").withColumn("l", F.coalesce("l", F.array().cast("array<struct<rank:int,nbr_id:bigint,dist:double>>")))
+
+    def filled(values, missing):
+        return F.concat(values, F.array_repeat(missing, F.lit(k) - F.size("l")))
+
+    signed = F.transform("l", lambda x: F.when(x["nbr_id"] > 2**31 - 1, x["nbr_id"] - 2**32).otherwise(x["nbr_id"]).cast("int"))
+    placed = rows.select("vec_id", filled(signed, F.lit(-1)).alias("ids"), filled(F.transform("l", lambda x: x["dist"].cast("float")), F.lit(float("inf")).cast("float")).alias("dist"))
+    placed = placed.repartitionByRange(parts, "vec_id").sortWithinPartitions("vec_id")
+    for column, path, kind in (("ids", ids_path, "ivecsl"), ("dist", dist_path, "fvecsl")):
+        placed.select("vec_id", F.col(column).alias("embedding")).write.format("vecs").option("path", path).option("kind", kind).mode("overwrite").save()
+
+
+def _tree_ranges(path: str, rows: int) -> list[tuple[int, int, int, int, int]]:
+    """First vertex, vertices, first edge and all vertices and edges of each range; degrees are added up range by range."""
+    with open(path, "rb") as f:
+        v, e = struct.unpack("<qq", f.read(16))
+        out, edge = [], 0
+        for first in range(0, v, rows):
+            n = min(rows, v - first)
+            f.seek(16 + 4 * e + 4 * first)
+            out.append((first, n, edge, v, e))
+            edge += int(np.frombuffer(f.read(4 * n), "<i4").sum())
+    if edge != e:
+        raise ValueError(f"{path}: degrees don't add up to the edges")
+    return out
+
+
+def load_tree(spark: SparkSession, path: str, rows: int = 1 << 20) -> DataFrame:
+    """``source, target`` of a tree file, each edge at both of its ends; a task reads a range of vertices."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            for first, n, edge, v, e in zip(*(b.column(c).to_pylist() for c in ("first", "n", "edge", "v", "e"))):
+                with open(path, "rb") as f:
+                    f.seek(16 + 4 * e + 4 * first)
+                    degree = np.frombuffer(f.read(4 * n), "<i4")
+                    f.seek(16 + 4 * edge)
+                    target = np.frombuffer(f.read(4 * int(degree.sum())), "<u4")
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(first, first + n), degree)), pa.array(target.astype(np.int64))], names=["source", "target"])
+
+    ship_package(spark)
+    path = path.removeprefix("file://").removeprefix("file:")
+    ranges = spark.createDataFrame(_tree_ranges(path, rows), "first long, n long, edge long, v long, e long")
+    return ranges.repartition(max(1, ranges.count())).mapInArrow(run, "source long, target long")
+
+
+def load_books(spark: SparkSession, path: str, prefix: bool = True) -> DataFrame:
+    """``part, ctx, symbol, bit_length, code`` of a file of codebooks, whose size depends on the alphabet alone."""
+    rows = []
+    for part, (codes, alphabet, context) in enumerate(read_books(path, prefix)):
+        rows += [(part, i // alphabet if context else -1, i % alphabet, len(c), c) for i, c in codes.items()]
+    return spark.createDataFrame(rows, "part int, ctx int, symbol int, bit_length int, code string")
+
+
+def save_books(book: DataFrame, path: str, alphabet: int = 256, prefix: bool = True) -> None:
+    """A file of the codebooks ``book(part, ctx, symbol, code)``, one for each part."""
+    books: dict[int, dict[int, str]] = {}
+    context = False
+    for r in book.select("part", "ctx", "symbol", "code").collect():  # at most parts * alphabet * alphabet rows
+        context = context or r["ctx"] >= 0
+        books.setdefault(r["part"], {})[(r["ctx"] * alphabet if r["ctx"] >= 0 else 0) + r["symbol"]] = r["code"]
+    write_books(path, [dump_book(books[p], alphabet, context) for p in sorted(books)], prefix)

@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import glob
 import os
+import re
+import shutil
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -171,14 +174,25 @@ class VecsReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([ids, lists], names=["vec_id", "embedding"])
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    part: int
+    file: str | None  # none for a task without rows
+
+
 class VecsWriter(DataSourceArrowWriter):
-    """Each task writes its own file; rows are as the task has them, so sort within partitions first."""
+    """Each task attempt writes a file of its own in a hidden folder; rows are as the task has them, so
+    sort within partitions first. The commit moves the files of successful tasks into place, in the
+    order of partitions and after the files that are there already; an overwrite deletes those first.
+    A failed job leaves the folder's files as they were."""
 
     def __init__(self, options, overwrite: bool):
-        self.path, self.suffix = options["path"].removeprefix("file://").removeprefix("file:"), options.get("kind", "fvecs")
+        self.path, self.suffix = options["path"].removeprefix("file://").removeprefix("file:").rstrip("/"), options.get("kind", "fvecs")
         _kind(f"x.{self.suffix}")
+        self.overwrite, self.job = overwrite, uuid.uuid4().hex
+        self.hidden = f"{self.path}/.writing-{self.job}"
 
-    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
         parts = []
@@ -186,9 +200,30 @@ class VecsWriter(DataSourceArrowWriter):
             lists = b.column("embedding")
             if len(b):
                 parts.append(lists.flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1))
-        if parts:
-            write_rows(f"{self.path}/part-{TaskContext.get().partitionId():05d}.{self.suffix}", np.concatenate(parts))
-        return WriterCommitMessage()
+        number = TaskContext.get().partitionId()
+        if not parts:
+            return Written(number, None)
+        file = f"{self.hidden}/{uuid.uuid4().hex}.{self.suffix}"
+        write_rows(file, np.concatenate(parts))
+        return Written(number, file)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        os.makedirs(self.path, exist_ok=True)
+        old = [f for f in glob.glob(f"{self.path}/*") if "vecs" in os.path.basename(f)]
+        done = sorted((m.part, m.file) for m in messages if m is not None and m.file)
+        numbers = [int(m.group(1)) for f in old if (m := re.match(r"part-(\d+)-", os.path.basename(f)))]
+        if not self.overwrite and old and len(numbers) < len(old):
+            raise ValueError(f"{self.path} has files of other writers: rows can't be put after theirs")
+        first = max(numbers, default=-1) + 1
+        for i, (_, file) in enumerate(done):
+            os.replace(file, f"{self.path}/part-{first + i:08d}-{self.job}.{self.suffix}")
+        if self.overwrite:
+            for f in old:
+                os.remove(f)
+        shutil.rmtree(self.hidden, ignore_errors=True)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        shutil.rmtree(self.hidden, ignore_errors=True)
 
 
 class VecsSource(DataSource):
