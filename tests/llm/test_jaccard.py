@@ -72,6 +72,35 @@ def test_a_large_group_of_near_copies(spark):
         assert as_rows(jaccard.near_duplicates(docs, s)) == brute(rows, 3, 90, 100)
 
 
+def test_every_link(spark, sf):
+    """Pairs between classes are all the links that brute force finds."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    s = jaccard.Settings(words=2, num=30, part=3, often=(3, 10**6), ranges=2)
+    pairs, members = jaccard.similar_pairs(spark.read.parquet(f"{sf}/documents.parquet"), s)
+    classes = {}
+    for i, t in rows:
+        if x := shingles(t, 2):
+            classes.setdefault(x, []).append(i)
+    assert sorted((r.doc_id, r.node) for r in members.collect()) == sorted((i, min(c)) for c in classes.values() for i in c)
+    sets = sorted((min(c), x) for x, c in classes.items())
+    want = sorted((i, j) for k, (j, y) in enumerate(sets) for i, x in sets[:k] if 100 * len(x & y) >= 30 * len(x | y))
+    assert sorted((r.a, r.b) for r in pairs.collect()) == want and want
+
+
+def test_hot_shingles_and_split_lists(spark):
+    """Shingles that nearly all documents hold, found by blocks, with lists split into parts of two."""
+    import random
+
+    rnd = random.Random(9)
+    rows = []
+    for i in range(60):
+        common = [f"c{j}" for j in range(30)]
+        rows.append((i, " ".join(common + [f"g{i % 6}x{j}" for j in range(20)] + [f"u{rnd.randint(0, 10**6)}" for _ in range(rnd.randint(0, 4))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    for s in (jaccard.Settings(words=3, num=90, part=2, often=(10, 10**6), ranges=3), jaccard.Settings(words=3, num=70, part=2, often=(10, 10**6), most_often=4, hubs=2)):
+        assert as_rows(jaccard.near_duplicates(docs, s)) == brute(rows, 3, s.num, 100)
+
+
 def test_empty_table(spark):
     assert jaccard.near_duplicates(empty_documents(spark)).collect() == []
 

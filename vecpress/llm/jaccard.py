@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -428,14 +428,18 @@ def _every_part(rows: DataFrame) -> DataFrame:
     return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
 
+def _room(s: Settings) -> Column:
+    """Whether neither the sizes of a node and a hub nor the shingles that no other document has rule the pair out."""
+    most = F.least(F.col("n") - F.col("own"), F.col("hub_n") - F.col("hub_own"))
+    return s.den * most >= s.num * (F.col("n") + F.col("hub_n") - most)
+
+
 def _candidates(pairs: DataFrame, heads: DataFrame, s: Settings) -> DataFrame:
-    """``hub, node`` of the pairs whose prefixes match often enough and whose unshared shingles leave room; sets aren't read."""
-    mine = heads.select("node", "n", "own", "l", "base", "toks")
-    hubs = heads.select(*[F.col(c).alias(f"hub_{c}" if c != "node" else "hub") for c in ("node", "n", "own", "l", "base", "toks")])
+    """``hub, node`` of the pairs whose prefixes match often enough; sets aren't read."""
+    mine = heads.select("node", "l", "base", "toks")
+    hubs = heads.select(*[F.col(c).alias(f"hub_{c}" if c != "node" else "hub") for c in ("node", "l", "base", "toks")])
     both = pairs.join(mine, "node").join(hubs, "hub")
-    # neither size nor the shingles that no other document has may rule the pair out
-    most = F.least(F.col("n") - F.col("own"), F.col("hub_n") - F.col("hub_own"))
-    both = both.filter(s.den * most >= s.num * (F.col("n") + F.col("hub_n") - most)).withColumn("least", F.least("l", "hub_l"))
+    both = both.withColumn("least", F.least("l", "hub_l"))
     shared = F.array_intersect(F.expr("slice(toks, 1, greatest(base + least - 1, 0))"), F.expr("slice(hub_toks, 1, greatest(hub_base + least - 1, 0))"))
     return both.filter(F.size(shared) >= F.col("least")).select("hub", "node")
 
@@ -458,11 +462,16 @@ def _linked(heads: DataFrame, sets: DataFrame, s: Settings) -> tuple[DataFrame |
             break
         order = Window.partitionBy("tok").orderBy("own", "node")
         hubs = stored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n_hubs)
-        hubs = materialize(hubs.select("tok", "parts", "place", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp")), "hubs")
+        hubs = materialize(hubs.select("tok", "parts", "place", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("own").alias("hub_own"), F.col("comp").alias("hub_comp")), "hubs")
         mine = stored.join(hubs.select("tok", F.col("hub").alias("node"), F.col("place").alias("own_place")), ["tok", "node"], "left")
-        sizes = F.least("n", "hub_n") * s.den >= F.greatest("n", "hub_n") * s.num
-        apart = F.expr("comp <> hub_comp and (own_place is null or own_place > place)") & sizes
-        pairs = mine.join(_every_part(hubs).drop("parts"), ["tok", "part"]).filter(apart).select("hub", "node").distinct()
+        apart = F.expr("comp <> hub_comp and (own_place is null or own_place > place)") & _room(s)
+        left, right = mine, hubs
+        if n_hubs > 1:
+            # a pair is compared at the smallest prefix shingle that it shares: each shingle's list goes on
+            # until its documents are compared or in one component, so none is passed over
+            left, right = mine.join(heads.select("node", "toks"), "node"), hubs.join(heads.select(F.col("node").alias("hub"), F.col("toks").alias("hub_toks")), "hub")
+            apart = apart & (F.array_min(F.array_intersect("toks", "hub_toks")) == F.col("tok"))
+        pairs = left.join(_every_part(right).drop("parts"), ["tok", "part"]).filter(apart).select("hub", "node").distinct()
         chosen = _candidates(pairs, heads, s)
         new = materialize(_similar(chosen, sets, s), "links")
         if new.limit(1).count():
@@ -490,10 +499,10 @@ def similar_pairs(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame,
     or a negative number where that has several different texts. An empty table gives no rows.
     """
     _, members, _, heads, sets = prepare(docs, s)
-    left = _postings(heads, s)
-    right = _every_part(left.select("tok", F.col("parts"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))).drop("parts")
-    sizes = F.least("n", "hub_n") * s.den >= F.greatest("n", "hub_n") * s.num
-    pairs = left.join(right, ["tok", "part"]).filter((F.col("hub") < F.col("node")) & sizes).select("hub", "node").distinct()
+    left = _postings(heads, s).join(heads.select("node", "toks"), "node")
+    right = _every_part(left.select("tok", "parts", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("own").alias("hub_own"), F.col("toks").alias("hub_toks"))).drop("parts")
+    once = F.array_min(F.array_intersect("toks", "hub_toks")) == F.col("tok")
+    pairs = left.join(right, ["tok", "part"]).filter((F.col("hub") < F.col("node")) & _room(s) & once).select("hub", "node")
     return _similar(_candidates(pairs, heads, s), sets, s), members
 
 
