@@ -434,14 +434,24 @@ def _room(s: Settings) -> Column:
     return s.den * most >= s.num * (F.col("n") + F.col("hub_n") - most)
 
 
-def _candidates(pairs: DataFrame, heads: DataFrame, s: Settings) -> DataFrame:
-    """``hub, node`` of the pairs whose prefixes match often enough; sets aren't read."""
-    mine = heads.select("node", "l", "base", "toks")
-    hubs = heads.select(*[F.col(c).alias(f"hub_{c}" if c != "node" else "hub") for c in ("node", "l", "base", "toks")])
-    both = pairs.join(mine, "node").join(hubs, "hub")
-    both = both.withColumn("least", F.least("l", "hub_l"))
-    shared = F.array_intersect(F.expr("slice(toks, 1, greatest(base + least - 1, 0))"), F.expr("slice(hub_toks, 1, greatest(hub_base + least - 1, 0))"))
-    return both.filter(F.size(shared) >= F.col("least")).select("hub", "node")
+def _with_prefixes(rows: DataFrame, heads: DataFrame, hubs: bool = False) -> DataFrame:
+    """The prefix of each row's node, or of its hub."""
+    names = ("l", "base", "toks")
+    if hubs:
+        return rows.join(heads.select(F.col("node").alias("hub"), *[F.col(c).alias(f"hub_{c}") for c in names]), "hub")
+    return rows.join(heads.select("node", *names), "node")
+
+
+def _matched() -> Column:
+    """Whether two prefixes match as often as the smaller l asks for, each as long as that l makes it; sets aren't read."""
+    least = "least(l, hub_l)"
+    shared = F.array_intersect(F.expr(f"slice(toks, 1, greatest(base + {least} - 1, 0))"), F.expr(f"slice(hub_toks, 1, greatest(hub_base + {least} - 1, 0))"))
+    return F.size(shared) >= F.expr(least)
+
+
+def _here() -> Column:
+    """Whether a row's shingle is the smallest that both prefixes hold, so that a pair is compared once."""
+    return F.array_min(F.array_intersect("toks", "hub_toks")) == F.col("tok")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -465,14 +475,14 @@ def _linked(heads: DataFrame, sets: DataFrame, s: Settings) -> tuple[DataFrame |
         hubs = materialize(hubs.select("tok", "parts", "place", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("own").alias("hub_own"), F.col("comp").alias("hub_comp")), "hubs")
         mine = stored.join(hubs.select("tok", F.col("hub").alias("node"), F.col("place").alias("own_place")), ["tok", "node"], "left")
         apart = F.expr("comp <> hub_comp and (own_place is null or own_place > place)") & _room(s)
-        left, right = mine, hubs
-        if n_hubs > 1:
-            # a pair is compared at the smallest prefix shingle that it shares: each shingle's list goes on
-            # until its documents are compared or in one component, so none is passed over
-            left, right = mine.join(heads.select("node", "toks"), "node"), hubs.join(heads.select(F.col("node").alias("hub"), F.col("toks").alias("hub_toks")), "hub")
-            apart = apart & (F.array_min(F.array_intersect("toks", "hub_toks")) == F.col("tok"))
-        pairs = left.join(_every_part(right).drop("parts"), ["tok", "part"]).filter(apart).select("hub", "node").distinct()
-        chosen = _candidates(pairs, heads, s)
+        if n_hubs == 1:
+            pairs = mine.join(_every_part(hubs).drop("parts"), ["tok", "part"]).filter(apart).select("hub", "node").distinct()
+            chosen = _with_prefixes(_with_prefixes(pairs, heads), heads, True).filter(_matched()).select("hub", "node")
+        else:
+            # each shingle's list goes on until its documents are compared or in one component, so
+            # no pair is passed over by waiting for its smallest shingle
+            left, right = _with_prefixes(mine, heads), _with_prefixes(hubs, heads, True)
+            chosen = left.join(_every_part(right).drop("parts"), ["tok", "part"]).filter(apart & _here() & _matched()).select("hub", "node")
         new = materialize(_similar(chosen, sets, s), "links")
         if new.limit(1).count():
             links = new if links is None else links.unionByName(new)
@@ -499,11 +509,10 @@ def similar_pairs(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame,
     or a negative number where that has several different texts. An empty table gives no rows.
     """
     _, members, _, heads, sets = prepare(docs, s)
-    left = _postings(heads, s).join(heads.select("node", "toks"), "node")
-    right = _every_part(left.select("tok", "parts", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("own").alias("hub_own"), F.col("toks").alias("hub_toks"))).drop("parts")
-    once = F.array_min(F.array_intersect("toks", "hub_toks")) == F.col("tok")
-    pairs = left.join(right, ["tok", "part"]).filter((F.col("hub") < F.col("node")) & _room(s) & once).select("hub", "node")
-    return _similar(_candidates(pairs, heads, s), sets, s), members
+    left = _with_prefixes(_postings(heads, s), heads)
+    right = left.select("tok", "parts", F.col("node").alias("hub"), *[F.col(c).alias(f"hub_{c}") for c in ("n", "own", "l", "base", "toks")])
+    pairs = left.join(_every_part(right).drop("parts"), ["tok", "part"]).filter((F.col("hub") < F.col("node")) & _room(s) & _here() & _matched())
+    return _similar(pairs.select("hub", "node"), sets, s), members
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
