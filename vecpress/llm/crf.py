@@ -395,7 +395,9 @@ def learn(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     if not len(got):
         return Model(np.zeros(N_FEATURES), np.zeros((2, 2)), np.zeros(N_FEATURES, np.float32), np.ones(N_FEATURES, np.float32))
     own = [np.frombuffer(b, "<f4").reshape(-1, N_OWN) for b in got["own"]]
-    return train(own, [np.frombuffer(b, "<i8") for b in got["sizes"]], got["quality"].to_numpy(), s)
+    model = train(own, [np.frombuffer(b, "<i8") for b in got["sizes"]], got["quality"].to_numpy(), s)
+    pa.default_memory_pool().release_unused()  # what the sample took is the driver's again
+    return model
 
 
 def _score(m: Model, names: list[str]):

@@ -109,19 +109,23 @@ def _known_share(seen: np.ndarray, n: np.ndarray, s: Settings) -> np.ndarray:
 # -- training ----------------------------------------------------------------------------------------
 
 
+def _counts(texts: list[str], s: Settings, step: int = 100) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each text's buckets and how often it has them; the subwords of a few texts are held at once."""
+    for i in range(0, len(texts), step):
+        words, codes, offsets = _lettered(pa.array(texts[i : i + step], pa.string()))
+        buckets, owner = subwords(words, s)
+        order = np.argsort(owner, kind="stable")
+        buckets, ends = buckets[order].astype(np.int32), np.searchsorted(owner[order], np.arange(len(words) + 1))
+        for a, b in zip(offsets[:-1], offsets[1:]):
+            own = codes[a:b]
+            parts = [buckets[ends[w] : ends[w + 1]] for w in own[own >= 0]]
+            ids, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+            yield ids, n.astype(np.int32)
+
+
 def _bags(texts: list[str], s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
     """Each text's buckets and their shares."""
-    words, codes, offsets = _lettered(pa.array(texts, pa.string()))
-    buckets, owner = subwords(words, s)
-    order = np.argsort(owner, kind="stable")
-    buckets, ends = buckets[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
-    out = []
-    for a, b in zip(offsets[:-1], offsets[1:]):
-        own = codes[a:b]
-        parts = [buckets[ends[w] : ends[w + 1]] for w in own[own >= 0]]
-        ids, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0))
-        out.append((ids, (n / max(1, n.sum())).astype(np.float32)))
-    return out
+    return [(ids, (n / max(1, n.sum())).astype(np.float32)) for ids, n in _counts(texts, s)]
 
 
 def _excerpts(texts: list[str], labels: np.ndarray, rng: np.random.Generator) -> tuple[list[str], np.ndarray]:
@@ -174,6 +178,7 @@ def train(texts: list[str], labels: list[str], classes: list[str], s: Settings =
             bias -= rate * 0.1 * d.sum(axis=0)
             # each text's step is spread over its buckets; frequent ones move as far as their share
             np.add.at(emb, ids, -rate * 20 * share[:, None] * back[text])
+    del bags, fit_texts
     model = Model(s, classes, (emb @ w).astype(np.float32), bias)
     cal_texts, cal_y = _excerpts([texts[i] for i in cal], y[cal], rng)
     _calibrate(model, cal_texts, cal_y, len(cal))
@@ -181,38 +186,23 @@ def train(texts: list[str], labels: list[str], classes: list[str], s: Settings =
     return model
 
 
-def _long_bags(texts: list[str], s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each text's long buckets and how often it has them."""
-    words, codes, offsets = _lettered(pa.array(texts, pa.string()))
-    buckets, owner = subwords(words, _long(s))
-    order = np.argsort(owner, kind="stable")
-    buckets, ends = buckets[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
-    out = []
-    for a, b in zip(offsets[:-1], offsets[1:]):
-        own = codes[a:b]
-        parts = [buckets[ends[w] : ends[w + 1]] for w in own[own >= 0]]
-        out.append(np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-    return out
-
-
 def _learn_known(m: Model, fit: list[str], fit_y: np.ndarray, cal: list[str], cal_y: np.ndarray) -> None:
     """Known subwords, and the least share of them: midway between calibration texts as they are and with
     their language left out; where these overlap, what keeps the calibration texts."""
     s = m.settings
     holders = np.zeros(s.known_buckets, np.uint16)  # languages that know the subword
     only = np.full(s.known_buckets, -1, np.int32)
-    bags = _long_bags(fit, s)
     for c in range(len(m.classes)):
         docs = np.zeros(s.known_buckets, np.int32)
-        for i in np.flatnonzero(fit_y == c):
-            docs[bags[i][0]] += 1
+        for ids, _ in _counts([fit[i] for i in np.flatnonzero(fit_y == c)], _long(s)):
+            docs[ids] += 1
         own = docs >= s.known_docs
         holders += own
         only[own] = c
     known = holders > 0
     m.known = np.packbits(known)
     inside, outside = [], []
-    for (ids, n), c in zip(_long_bags(cal, s), cal_y):
+    for (ids, n), c in zip(_counts(cal, _long(s)), cal_y):
         if len(ids):
             others = (holders[ids] > 1) | ((holders[ids] == 1) & (only[ids] != c))
             inside.append(_known_share((n * known[ids]).sum(), n.sum(), s))
@@ -282,7 +272,9 @@ def learn(docs: DataFrame, s: Settings = Settings()) -> Model:
     sample, classes = sample_by_class(rows, "lang", s.per_class, s.seed, F.length("text"), s.chars)
     got = sample.select("doc_id", "text", "lang").toPandas()
     got = got.sort_values(["doc_id", "text", "lang"])
-    return train(got["text"].tolist(), got["lang"].tolist(), classes, s)
+    model = train(got["text"].tolist(), got["lang"].tolist(), classes, s)
+    pa.default_memory_pool().release_unused()  # what the sample took is the driver's again
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
