@@ -113,13 +113,15 @@ def _parted(data: bytes, n: int) -> list[bytes]:
 
 def _word_message(words: pa.Array, at: np.ndarray) -> bytes:
     """Words of a block and their ascending places in its list. Words hold no line break."""
-    raw = "\n".join(words.take(pa.array(at)).to_pylist()).encode()
+    own = words.take(pa.array(at))
+    raw = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), "\n").cast(pa.binary())[0].as_py()
     return _joined(struct.pack("<I", len(raw)), pa.compress(raw, codec="zstd", asbytes=True), squeeze_sorted(at))
 
 
-def _read_words(data: bytes) -> tuple[list[str], bytes]:
+def _read_words(data: bytes) -> tuple[pa.Array, bytes]:
     size, raw, at = _parted(data, 3)
-    return pa.decompress(raw, decompressed_size=struct.unpack("<I", size)[0], codec="zstd", asbytes=True).decode().split("\n"), at
+    text = pa.decompress(raw, decompressed_size=struct.unpack("<I", size)[0], codec="zstd", asbytes=True)
+    return pc.split_pattern(pa.array([text.decode()], pa.string()), "\n").values, at
 
 
 def _cut(table: pa.Table):
@@ -172,7 +174,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _encode_shard(path: str):
     def run(table: pa.Table) -> pa.Table:
         lists = [_read_words(p.as_py()) for p in table.column("payload")]
-        coded = pa.array(list(chain.from_iterable(words for words, _ in lists)), pa.string()).dictionary_encode()
+        coded = pa.concat_arrays([words for words, _ in lists]).dictionary_encode()
         ids, sizes = encode_words(path, coded.dictionary)
         starts = np.cumsum(sizes, dtype=np.int64) - sizes
         codes = coded.indices.to_numpy(zero_copy_only=False)
@@ -209,7 +211,7 @@ def _join_block(make, schema: pa.Schema):
                 continue
             got.add(raw)
             at, n, ids = _parted(raw, 3)
-            at, n, ids = unsqueeze_sorted(at).astype(np.int64), unsqueeze(n).astype(np.int32), unsqueeze(ids).astype(np.uint32)
+            at, n, ids = unsqueeze_sorted(at).astype(np.int64), unsqueeze(n).astype(np.int32), unsqueeze(ids).astype(np.uint32, copy=False)
             sizes[at] = n
             starts[at] = done + np.cumsum(n, dtype=np.int64) - n
             flat.append(ids)
@@ -222,8 +224,8 @@ def _join_block(make, schema: pa.Schema):
         for head in heads:
             doc_ids = head.column("doc_id").flatten()
             offsets = _flat(head, "offsets")
-            codes = unsqueeze(head.column("codes")[0].as_py()).astype(np.int64)
-            step = 4_000_000  # words laid out at once, or those of one document
+            codes = unsqueeze(head.column("codes")[0].as_py())
+            step = 1_000_000  # words laid out at once, or those of one document
             i = 0
             while i < len(doc_ids):
                 j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + step, side="right")) - 1)

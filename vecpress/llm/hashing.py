@@ -21,21 +21,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def squeeze(x: np.ndarray) -> bytes:
     """Numbers from 0 on as zstd bytes of each of their byte planes; planes above the largest number are left out."""
-    x = np.ascontiguousarray(x, dtype="<u8")
     top = -(-int(x.max(initial=0)).bit_length() // 8)
-    raw = x.view(np.uint8).reshape(-1, 8)
+    width = 4 if top <= 4 else 8
+    raw = np.ascontiguousarray(x, dtype=f"<u{width}").view(np.uint8).reshape(-1, width)
     parts = [pa.compress(np.ascontiguousarray(raw[:, i]).tobytes(), codec="zstd", asbytes=True) for i in range(top)]
     return struct.pack(f"<IB{top}I", len(x), top, *map(len, parts)) + b"".join(parts)
 
 
 def unsqueeze(data: bytes) -> np.ndarray:
+    """As 32-bit numbers where they fit."""
     n, top = struct.unpack_from("<IB", data)
     sizes = struct.unpack_from(f"<{top}I", data, 5)
-    raw, at = np.zeros((n, 8), np.uint8), 5 + 4 * top
+    width = 4 if top <= 4 else 8
+    raw, at = np.zeros((n, width), np.uint8), 5 + 4 * top
     for i, size in enumerate(sizes):
         raw[:, i] = np.frombuffer(pa.decompress(data[at : at + size], decompressed_size=n, codec="zstd", asbytes=True), np.uint8)
         at += size
-    return raw.view("<u8").ravel()
+    return raw.view(f"<u{width}").ravel()
 
 
 def squeeze_sorted(x: np.ndarray) -> bytes:
