@@ -7,7 +7,9 @@ which Spark hands them over.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +19,34 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 24 << 20
 
 
+@cache
+def _malloc_trim() -> Callable[[int], int]:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda keep: 0)  # C libraries other than glibc lack it
+
+
+def give_back() -> None:
+    """Return freed memory to the system. A Python worker serves one stage after another, and would
+    hold on to the most that any of them took, beside the workers of other tasks."""
+    pa.default_memory_pool().release_unused()
+    _malloc_trim()(0)
+
+
+def tidied(run: Callable[[pa.Table], pa.Table]):
+    """A function of a group, after which memory is given back."""
+
+    def tidy(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    return tidy
+
+
 def text_blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.Table]:
-    """Tables of consecutive rows; null texts become empty. A block ends with the row that fills it."""
+    """Tables of consecutive rows; null texts become empty. A block ends with the row that fills it.
+    Memory is given back before the first block and after each."""
+    give_back()
     held: list[pa.Table] = []
     size = 0
     for batch in batches:
@@ -34,12 +62,14 @@ def text_blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit:
                 held.append(t.slice(start, cut - start))
                 yield pa.concat_tables(held).combine_chunks()
                 held, size = [], 0
+                give_back()
             else:
                 held.append(t.slice(start))
                 size += int(ends[-1])
             start = cut
     if held:
         yield pa.concat_tables(held).combine_chunks()
+        give_back()
 
 
 def one(column: pa.ChunkedArray | pa.Array) -> pa.Array:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecpress.llm.blocks import one, spans, split_words, text_blocks
+from vecpress.llm.blocks import one, spans, split_words, text_blocks, tidied
 from vecpress.llm.hashing import squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
 from vecpress.session import ship_package
 
@@ -307,9 +307,9 @@ def through_words(docs: DataFrame, path: str, make, schema: pa.Schema, shards: i
     shards = shards or shards_for(docs)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lists = src.mapInArrow(_word_lists(shards), PIECES)
-    coded = lists.groupBy("shard").applyInArrow(_encode_shard(path), PIECES)
+    coded = lists.groupBy("shard").applyInArrow(tidied(_encode_shard(path)), PIECES)
     heads = src.mapInArrow(_documents, PIECES)
-    return heads.unionByName(coded).groupBy("block").applyInArrow(_join_block(make, schema), _schema_ddl(schema))
+    return heads.unionByName(coded).groupBy("block").applyInArrow(tidied(_join_block(make, schema)), _schema_ddl(schema))
 
 
 def encode(docs: DataFrame, path: str, shards: int | None = None, digests: bool = False) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vecpress.llm.blocks import one, split_words, text_blocks
+from vecpress.llm.blocks import one, split_words, text_blocks, tidied
 from vecpress.llm.hashing import GOLD, mix, squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
 from vecpress.operators.components import components
 from vecpress.session import discard, materialize, ship_package
@@ -397,7 +397,7 @@ def prepare(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFra
         ranges = max(s.ranges, int(total) // s.range_tokens)
         sent = texts.mapInArrow(_messages(s, end, ranges, hot, last), "place int, payload binary")
         kind = "node long, own long" + ", toks array<long>, dfs array<long>" * last
-        counted = sent.groupBy("place").applyInArrow(_count(hot, last), kind)
+        counted = sent.groupBy("place").applyInArrow(tidied(_count(hot, last)), kind)
         if last:
             break
         own = counted.groupBy("node").agg(F.sum("own").alias("own"))

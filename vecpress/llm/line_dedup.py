@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecpress.llm.blocks import one, text_blocks, unused
+from vecpress.llm.blocks import one, text_blocks, tidied, unused
 from vecpress.llm.bpe import pack, unpack
 from vecpress.llm.hashing import GOLD, mix
 from vecpress.session import discard, materialize, ship_package
@@ -234,7 +234,7 @@ def drop_repeated_lines(docs: DataFrame, least: int = 10, send_bytes: int = 32 <
     shards = max(1, -(-found.count() // per_shard))
     shard = F.expr(f"cast(pmod(pmod(h1, {shards}L) + if(h1 < 0, {2**64 % shards}L, 0L), {shards}L) as int)")  # h1 as an unsigned number
     distinct = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.when(F.min("doc_id") < F.max("doc_id"), F.count("*")).otherwise(1).alias("n_docs"))
-    arrays = materialize(distinct.withColumn("shard", shard).groupBy("shard").applyInArrow(_build, "shard int, payload binary"), "mph", "uncompressed")
+    arrays = materialize(distinct.withColumn("shard", shard).groupBy("shard").applyInArrow(tidied(_build), "shard int, payload binary"), "mph", "uncompressed")
     size = arrays.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
     if size <= send_bytes:
         discard(found)
