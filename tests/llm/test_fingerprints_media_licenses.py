@@ -67,6 +67,25 @@ def test_fingerprints_of_repeated_rows(spark):
     assert iblt.compare_with_next(empty_documents(spark)).collect() == []
 
 
+def test_stored_fingerprints_peel_to_the_difference(spark, sf):
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").limit(200).collect()]
+    edited = [t + "\nA new end." if i % 3 else t[len(t) // 2 :] for i, t in enumerate(texts)]
+    (a, a_at), (b, b_at) = iblt.digests(pa.array(texts)), iblt.digests(pa.array(edited))
+    prints = iblt.fingerprints(a, a_at), iblt.fingerprints(b, b_at)
+    pair, key, sign, done = iblt.subtract(*prints)
+    assert iblt.stored_tables(prints[0])[0].tolist() == np.diff(a_at).tolist()
+    assert done[[i for i in range(len(texts)) if i % 3]].all()
+    for i in np.flatnonzero(done):
+        x, y = set(a[a_at[i] : a_at[i + 1]].tolist()), set(b[b_at[i] : b_at[i + 1]].tolist())
+        at = pair == i
+        assert {(int(k), int(s)) for k, s in zip(key[at], sign[at])} == {(k, 1) for k in x - y} | {(k, -1) for k in y - x}
+    # those too different for the stored cells are recovered from larger tables
+    pair, key, sign = iblt.differing(a, a_at, b, b_at, stored=prints)
+    want = {(i, k) for i in range(len(texts)) for k in set(a[a_at[i] : a_at[i + 1]].tolist()) ^ set(b[b_at[i] : b_at[i + 1]].tolist())}
+    assert set(zip(pair.tolist(), key.tolist())) == want and len(pair) == len(want)
+    assert iblt.subtract([], [])[3].tolist() == []
+
+
 def test_peeling_recovers_the_difference():
     rng = np.random.default_rng(2)
     for size in (0, 1, 10, 500):

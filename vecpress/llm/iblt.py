@@ -4,8 +4,9 @@ A paragraph (a line, cut further after sentence ends) is hashed to 64 bits toget
 it occurred before in its text, so a text is a set of digests. A digest is added to three cells of a
 small table, one in each third: its count, the XOR of the digests and the XOR of their check hashes.
 Subtracting two versions' tables leaves the differing digests, which peeling recovers: a cell that
-holds a single digest gives it away, and taking it out of its other cells uncovers more. When
-peeling gets stuck, both tables are built anew with twice the cells.
+holds a single digest gives it away, and taking it out of its other cells uncovers more. Stored
+fingerprints are subtracted and peeled as they are; when peeling gets stuck, both tables are built
+anew with twice the cells.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ from vecpress.session import ship_package
 
 #: Cells of a stored fingerprint.
 CELLS = 24
+#: A stored cell: count, digest XOR, check XOR.
+CELL = np.dtype([("n", ">u4"), ("k", ">u8"), ("c", ">u4")])
+
 
 def digests(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Digests of all texts' paragraphs, distinct within a text, and the offsets of each text's."""
@@ -61,7 +65,8 @@ def _cells(d: np.ndarray, cells: int) -> np.ndarray:
 
 
 def _check(d: np.ndarray) -> np.ndarray:
-    return mix(d ^ GOLD)
+    """Check hashes of 32 bits, as fingerprints store them."""
+    return mix(d ^ GOLD) & np.uint64(0xFFFFFFFF)
 
 
 def tables(d: np.ndarray, owner: np.ndarray, n: int, cells: int, sign: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,14 +113,35 @@ def _gather(d: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.n
     return d[at], np.repeat(np.arange(len(which)), n)
 
 
-def differing(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def stored_tables(prints: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of digests, counts, digest XORs and check XORs of fingerprints of equally many cells."""
+    sizes, cells = zip(*(p.split(":") for p in prints))
+    raw = np.frombuffer(bytes.fromhex("".join(cells)), CELL).reshape(len(prints), -1)
+    return np.array([int(n, 16) for n in sizes]), raw["n"].astype(np.int64), raw["k"].astype(np.uint64), raw["c"].astype(np.uint64)
+
+
+def subtract(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Peel pairs of stored fingerprints: pair, digest, sign (1: in a alone), and which pairs were recovered whole."""
+    if not a:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+    (_, n, k, c), (_, m, l, d) = stored_tables(a), stored_tables(b)
+    return peel(n - m, k ^ l, c ^ d)
+
+
+def differing(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, cells: int = CELLS, stored: tuple[list[str], list[str]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Differing digests of pairs of texts (a's i-th with b's i-th): pair, digest, and sign (1: in a alone).
 
-    Tables are as large as ``cells`` at first; pairs whose difference doesn't peel are tried again
-    with twice the cells, until all are recovered.
+    The ``stored`` fingerprints of ``cells`` cells are peeled first, or without them tables as large;
+    pairs whose difference doesn't peel are tried again with twice the cells, until all are recovered.
     """
     left = np.arange(len(a_at) - 1)
     out = []
+    if stored is not None:
+        r, k, s, done = subtract(*stored)
+        good = done[r]
+        out.append((r[good], k[good], s[good]))
+        left = np.flatnonzero(~done)
+        cells *= 2
     while len(left):
         step = max(1, 4_000_000 // cells)  # cells held at once
         failed = []
@@ -134,10 +160,10 @@ def differing(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray,
     return tuple(parts)
 
 
-def likeness(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, cells: int = CELLS) -> np.ndarray:
+def likeness(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, cells: int = CELLS, stored: tuple[list[str], list[str]] | None = None) -> np.ndarray:
     """Jaccard similarity of pairs of texts, from the sizes of their sets and of the recovered difference."""
     n_a, n_b = np.diff(a_at), np.diff(b_at)
-    pair, _, _ = differing(a, a_at, b, b_at, cells)
+    pair, _, _ = differing(a, a_at, b, b_at, cells, stored)
     diff = np.bincount(pair, minlength=len(n_a))
     common = (n_a + n_b - diff) / 2
     return np.where(n_a + n_b > 0, common / np.maximum(1, n_a + n_b - common), 1.0)
@@ -153,8 +179,8 @@ def fingerprints(d: np.ndarray, offsets: np.ndarray, cells: int = CELLS) -> list
         j = min(n, i + step)
         part = slice(offsets[i], offsets[j])
         count, key, check = tables(d[part], owner[part] - i, j - i, cells)
-        raw = np.zeros((j - i, cells), np.dtype([("n", ">u4"), ("k", ">u8"), ("c", ">u4")]))
-        raw["n"], raw["k"], raw["c"] = count, key, (check & np.uint64(0xFFFFFFFF))
+        raw = np.zeros((j - i, cells), CELL)
+        raw["n"], raw["k"], raw["c"] = count, key, check
         data, width = raw.tobytes(), raw.dtype.itemsize * cells
         out += [f"{m:x}:" + data[k * width : (k + 1) * width].hex() for k, m in enumerate(np.diff(offsets[i : j + 1]).tolist())]
     return out
@@ -180,14 +206,15 @@ def _compare(ids: pa.Array, texts: list[str], following: list[str], cells: int)
     own, own_at = d[: at[k]], at[: k + 1]
     ed, ed_at = d[at[k] : at[2 * k]], at[k : 2 * k + 1] - at[k]
     nx, nx_at = d[at[2 * k] :], at[2 * k :] - at[2 * k]
+    own_print, ed_print, nx_print = fingerprints(own, own_at, cells), fingerprints(ed, ed_at, cells), fingerprints(nx, nx_at, cells)
     columns = [
         ids,
         pa.array(list(map(len, texts)), pa.int64()),
         pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
-        pa.array(fingerprints(own, own_at, cells)),
-        pa.array(fingerprints(ed, ed_at, cells)),
-        pa.array(likeness(own, own_at, ed, ed_at, cells)),
-        pa.array(likeness(own, own_at, nx, nx_at, cells)),
+        pa.array(own_print),
+        pa.array(ed_print),
+        pa.array(likeness(own, own_at, ed, ed_at, cells, (own_print, ed_print))),
+        pa.array(likeness(own, own_at, nx, nx_at, cells, (own_print, nx_print))),
     ]
     return pa.RecordBatch.from_arrays(columns, names=[n for n, _ in OUT])
 
@@ -206,7 +233,7 @@ def _walk(cells: int, limit: int):
                     ids.append(last[1])
                     texts.append(last[2])
                     follow.append(t)
-                    size += len(last[2]) + len(t)
+                    size += len(last[2]) + len(t) + 128 * cells  # fingerprints too, so that empty texts count
                     if size > limit:
                         yield _compare(pa.array(ids, pa.int64()), texts, follow, cells)
                         ids, texts, follow, size = [], [], [], 0
@@ -247,5 +274,5 @@ def compare_with_next(docs: DataFrame, cells: int = CELLS, range_bytes: int = 12
     heads = spark.createDataFrame([(i, h, first[k - 1][0]) for k, (_, i, h) in enumerate(first)], "_i long, _h long, _to int")
     # the first row of a range also goes to the end of the range before it
     both = dealt.join(F.broadcast(heads), ["_i", "_h"], "left").withColumn("_place", F.explode(F.array_compact(F.array(F.struct(F.col("range"), F.lit(False).alias("extra")), F.when(F.col("_to").isNotNull(), F.struct(F.col("_to").alias("range"), F.lit(True).alias("extra")))))))
-    rows = both.select("_place.range", "_place.extra", "_i", "_h", "doc_id", "text").repartition("range").sortWithinPartitions("range", "extra", "_i", "_h")
+    rows = both.select("_place.range", "_place.extra", "_i", "_h", "doc_id", "text").repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "extra", "_i", "_h")
     return rows.mapInArrow(_walk(cells, 4 << 20), ddl)
