@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import io
+import zlib
 
 import pytest
 
@@ -55,8 +56,29 @@ def test_file_round_trip(tmp_path):
     f = tmp_path / "x.warc.gz"
     data = [warc.page_member(i, "u", p, b32(p), None, "1970-01-01T00:00:00Z") for i, p in enumerate([b"", b"abc", bytes(range(256)) * 900])]
     f.write_bytes(b"".join(data))
-    with f.open("rb") as s:
-        assert [r.payload for r in warc.read(s)] == [b"", b"abc", bytes(range(256)) * 900]
+    for chunk in (1, 7, 1 << 16):
+        with f.open("rb") as s:
+            assert [r.payload for r in warc.read(s, chunk)] == [b"", b"abc", bytes(range(256)) * 900]
+
+
+def test_archive_files_through_binary_file(spark, tmp_path):
+    pages = [(1, "a"), (2, "a"), (3, None), (4, "é\r\n\r\n" * 1000)]
+    df = spark.createDataFrame([(i, "http://h/", h) for i, h in pages], "page_id long, url string, html string")
+    for r in warc.write_archives(df, archive_bytes=300).collect():
+        (tmp_path / f"{r.archive}.warc.gz").write_bytes(r.content)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(str(tmp_path))
+    assert files.count() > 1
+    assert as_rows(warc.read_archives(files)) == expected(pages)
+
+
+def test_a_block_beyond_its_length_is_not_inflated():
+    head = b"WARC/1.1\r\nContent-Length: 3\r\n\r\n"
+    z = zlib.compressobj(9, zlib.DEFLATED, 31)
+    bomb = z.compress(head + b"abc" + bytes(200 << 20)) + z.flush()
+    m = warc.Member(io.BytesIO(bomb), b"", 1 << 10)
+    with pytest.raises(warc.WarcError, match="Content-Length"):
+        warc.read_record(m)
+    assert len(m.held) < 1 << 20
 
 
 @pytest.mark.parametrize("harm", ["cut", "flip", "length", "digest"])
@@ -70,8 +92,6 @@ def test_damage_is_found(harm):
     elif harm == "digest":
         bad = warc.page_member(1, "u", p, b32(p + b"x"), None, "d")
     else:
-        import zlib
-
         raw = zlib.decompress(good, 31).replace(b"\r\n\r\n", b"\r\n\r\nmore", 1)
         z = zlib.compressobj(6, zlib.DEFLATED, 31)
         bad = z.compress(raw) + z.flush()

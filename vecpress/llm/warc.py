@@ -1,8 +1,8 @@
 """WARC 1.1 archives: one gzip member per record, written and read in order.
 
 The reader is sequential: it feeds a stream in small chunks to an incremental zlib decompressor,
-starts a new one at each member's end, frames a record's block by its Content-Length and checks the
-block and payload digests. In Spark an archive is a row of bytes in a table of the shared folder,
+starts a new one at each member's end, frames a record's block by its Content-Length while inflating
+(what exceeds it is never inflated) and checks the block and payload digests. In Spark an archive is a row of bytes in a table of the shared folder,
 since Python workers can't open every store; files that ``binaryFile`` reads have the same form.
 """
 
@@ -24,6 +24,8 @@ from vecpress.session import materialize, ship_package
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Archive bytes after which a task starts the next archive.
 ARCHIVE_BYTES = 8 << 20
+#: A header that hasn't ended after so many bytes is damage.
+HEADER_BYTES = 64 << 20
 
 
 class WarcError(ValueError):
@@ -77,21 +79,56 @@ def page_member(page_id: int | None, url: str | None, payload: bytes, digest: st
 # -- reading ---------------------------------------------------------------------------------------
 
 
-def members(stream, chunk: int = 1 << 16) -> Iterator[bytes]:
-    """The contents of each gzip member of a stream, one at a time."""
-    data = stream.read(chunk)
-    while data:
-        z, parts = zlib.decompressobj(31), []
-        while not z.eof:
-            if not data:
-                raise WarcError("the archive ends within a record")
-            try:
-                parts.append(z.decompress(data))
-            except zlib.error as e:
-                raise WarcError(f"a gzip member is damaged: {e}") from e
-            data = z.unused_data if z.eof else stream.read(chunk)
-        data = data or stream.read(chunk)
-        yield b"".join(parts)
+class Member:
+    """One gzip member of a stream, inflated as its bytes are asked for.
+
+    ``raw`` is what was read from the stream and not inflated yet: at the member's end, the start of the next one.
+    """
+
+    def __init__(self, stream, raw: bytes, chunk: int):
+        self.stream, self.raw, self.chunk = stream, raw, chunk
+        self.z, self.held = zlib.decompressobj(31), bytearray()
+
+    def _more(self) -> bool:
+        """Inflate a little more; False at the member's end."""
+        if self.z.eof:
+            return False
+        self.raw = self.raw or self.stream.read(self.chunk)
+        if not self.raw:
+            raise WarcError("the archive ends within a record")
+        try:
+            self.held += self.z.decompress(self.raw, 4 * self.chunk)
+        except zlib.error as e:
+            raise WarcError(f"a gzip member is damaged: {e}") from e
+        self.raw = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
+        return True
+
+    def until(self, mark: bytes) -> bytes:
+        """Bytes before the next ``mark``, which is passed over."""
+        seen = 0
+        while (end := self.held.find(mark, seen)) < 0:
+            seen = max(0, len(self.held) - len(mark) + 1)
+            if len(self.held) > HEADER_BYTES or not self._more():
+                raise WarcError("a record's header has no end")
+        out = bytes(self.held[:end])
+        del self.held[: end + len(mark)]
+        return out
+
+    def exactly(self, n: int) -> bytes:
+        while len(self.held) < n and self._more():
+            pass
+        if len(self.held) < n:
+            raise WarcError("a record's length differs from its Content-Length")
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        return out
+
+    def end(self, mark: bytes) -> None:
+        """Nothing but ``mark`` must be left; no more than that is inflated to find out."""
+        while len(self.held) <= len(mark) and self._more():
+            pass
+        if self.held != mark:
+            raise WarcError("a record's length differs from its Content-Length")
 
 
 def _fields(raw: bytes) -> tuple[str, dict[str, str]]:
@@ -105,18 +142,16 @@ def _fields(raw: bytes) -> tuple[str, dict[str, str]]:
     return first, out
 
 
-def parse(data: bytes) -> Record:
-    """A record from a member's bytes, its framing and digests checked."""
-    end = data.find(b"\r\n\r\n")
-    if end < 0:
-        raise WarcError("a record's header has no end")
-    version, headers = _fields(data[:end])
+def read_record(m: Member) -> Record:
+    """The record in a member, its block framed by Content-Length, its framing and digests checked."""
+    version, headers = _fields(m.until(b"\r\n\r\n"))
     if not version.startswith("WARC/"):
         raise WarcError(f"not a record: {version!r}")
-    size = int(headers.get("content-length", "-1"))
-    block = data[end + 4 : end + 4 + size]
-    if size < 0 or len(block) != size or data[end + 4 + size :] != b"\r\n\r\n":
-        raise WarcError("a record's length differs from its Content-Length")
+    size = headers.get("content-length", "")
+    if not (size.isascii() and size.isdigit()):
+        raise WarcError(f"a record's Content-Length is {size!r}")
+    block = m.exactly(int(size))
+    m.end(b"\r\n\r\n")
     if (want := headers.get("warc-block-digest")) and want != f"sha1:{sha1_base32(block)}":
         raise WarcError("a block doesn't match its digest")
     record = Record(headers, block)
@@ -131,10 +166,13 @@ def parse(data: bytes) -> Record:
     return record
 
 
-def read(stream) -> Iterator[Record]:
-    """All records of a stream, in order."""
-    for data in members(stream):
-        yield parse(data)
+def read(stream, chunk: int = 1 << 16) -> Iterator[Record]:
+    """All records of a stream, in order: one is held at a time."""
+    raw = stream.read(chunk)
+    while raw:
+        m = Member(stream, raw, chunk)
+        yield read_record(m)
+        raw = m.raw or stream.read(chunk)
 
 
 # -- in Spark ----------------------------------------------------------------------------------------
