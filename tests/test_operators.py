@@ -145,6 +145,38 @@ def test_round_trip_with_ids(spark, mode, points):
     assert coded == report.first().bits  # raw roots and the first vector included
 
 
+@pytest.mark.parametrize("rows", [1, 7, 90])
+def test_a_tree_in_many_chunks(spark, points, rows):
+    codes = codes_of(spark)
+    nn = knn.exact_knn(table(spark, points[:90]), 2)
+    tree = graph.tree_order(codes, graph.spanning_forest(graph.candidate_edges(nn, 2, codes, 0.5)))
+    report, book, chunks = jobs.huffman_encode(codes, 3, tree=tree, tree_chunk_rows=rows)
+    assert chunks.count() == -(-90 // rows)
+    back = codec.stream_position(codec.decode(chunks, book, "tree", 3, tree))
+    assert codec.mismatches(back, codes).first()[0] == 0
+    assert {(r.vec_id, r.pos) for r in back.collect()} == {(r.vec_id, r.pos) for r in tree.collect()}
+    if rows == 1:  # every parent lies in another chunk
+        assert {r.n_bits for r in chunks.collect()} == {24}
+
+
+def test_codes_longer_than_a_window(spark):
+    books = {(0, huffman.NO_CTX): huffman.build_codes((s, 2**s) for s in range(30))}
+    symbols = [29, 0, 17, 1, 29, 28, 3, 0, 0, 29]
+    a = codec.BookArrays(books)
+    bits = "".join(map(str, a.bits(a.find(0, huffman.NO_CTX, symbols), step=3).tolist()))
+    assert bits == "".join(books[0, huffman.NO_CTX][s] for s in symbols)
+    d = codec.Decoder(bits, books)
+    assert [d.symbol(0) for _ in symbols[:5]] + [x for _ in symbols[5:] for x in d.row([huffman.NO_CTX])] == symbols
+    assert d.at == len(bits)
+    for want in (30, -1, 1 << 40):
+        with pytest.raises(ValueError, match="no code"):
+            a.find(0, huffman.NO_CTX, [want])
+    cut = codec.Decoder(bits[:-1] + "", books)
+    with pytest.raises(ValueError, match="no such code"):
+        for _ in symbols:
+            cut.symbol(0)
+
+
 def test_selection_and_child_report(spark, points):
     v = table(spark, points)
     assert knn.by_id(v, v.filter("vec_id in (3, 5)")).count() == 2

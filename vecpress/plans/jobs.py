@@ -48,7 +48,7 @@ def tree_children(tree: DataFrame) -> DataFrame:
     return estimate.child_count_report(tree)
 
 
-def huffman_encode(codes: DataFrame, parts: int, sort: str = "sorted", context: bool = True, tree: DataFrame | None = None, only_estimate: bool = False, chunk_rows: int = codec.CHUNK_ROWS, seed: int = 0):
+def huffman_encode(codes: DataFrame, parts: int, sort: str = "sorted", context: bool = True, tree: DataFrame | None = None, only_estimate: bool = False, chunk_rows: int = codec.CHUNK_ROWS, seed: int = 0, tree_chunk_rows: int = codec.CHUNK_ROWS):
     """Report, codebooks and chunks (None with ``only_estimate``). The tree mode never reorders codes."""
     n = codes.count()
     if tree is not None:
@@ -63,7 +63,7 @@ def huffman_encode(codes: DataFrame, parts: int, sort: str = "sorted", context:
         return report, None, None
     book = materialize(huffman.codebooks(hist), "book")
     if tree is not None:
-        return report, book, codec.encode_tree(codes, tree, book)
+        return report, book, codec.encode_tree(codes, tree, book, tree_chunk_rows)
     if context:
         # codes across a chunk's edge are raw, so every pair within a chunk is in the book
         return report, book, codec.encode_chained(codes, book, sort, chunk_rows, seed)

@@ -424,7 +424,7 @@ def _roundtrip(spark, sf_dir, mode: str, order: str = "sorted", seed: int = 0) -
     if mode == "tree":
         tree = _tree(spark, sf_dir)
         book = materialize(huffman.codebooks(huffman.tree_hist(codes, tree)), "book")
-        chunks = whole = materialize(codec.encode_tree(codes, tree, book), "chunks")
+        chunks, whole = (codec.encode_tree(codes, tree, book, n) for n in (100, ONE_CHUNK))
     elif mode == "chained":
         book = materialize(huffman.codebooks(huffman.chained_hist(codes, order, seed)), "book")
         chunks, whole = (codec.encode_chained(codes, book, order, n, seed) for n in (100, ONE_CHUNK))
