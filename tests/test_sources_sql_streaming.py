@@ -132,6 +132,11 @@ def test_sql_functions(spark, tmp_path):
     sql.register(spark)
     r = spark.sql("select l2_sq(array(cast(1 as float)), array(cast(3 as float))) d, code_hamming(array(1, 2), array(1, 3)) h, huffman_cost(array(1L, 4L, 3L, 8L, 3L, 8L)) c, huffman_cost(array(0L, 7L)) one, huffman_codes(array(1L, 1L)) m").first()
     assert (r.d, r.h, r.c, r.one, r.m) == (4.0, 1, 65, 7, {0: "0", 1: "1"})
+    rows = spark.sql("select place, codes from huffman_decode(X'B0', 4L, array(map(-1, map(0, '0', 7, '1'))))").collect()
+    assert [(x.place, list(x.codes)) for x in rows] == [(0, [7]), (1, [0]), (2, [7]), (3, [7])]
+    rows = spark.sql("select codes from huffman_decode(X'05C0', 10L, array(map(5, map(5, '1', 6, '0'))))").collect()
+    assert [list(x.codes) for x in rows] == [[5], [5], [5]]
+    assert spark.sql("select * from huffman_decode(cast(null as binary), 4L, array(map(-1, map(0, '0'))))").count() == 0
     path = str(tmp_path / "x.fvecs")
     vecs.write_rows(path, np.ones((3, 2)))
     assert spark.sql(f"select count(*) from vecs_scan('{path}')").first()[0] == 3

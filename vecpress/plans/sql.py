@@ -18,7 +18,9 @@ HUFFMAN_COST = (
 
 
 def register(spark: SparkSession) -> None:
-    from vecpress.operators.huffman import build_codes
+    from vecpress.functions.bits import unpack_bits
+    from vecpress.operators.codec import Decoder
+    from vecpress.operators.huffman import NO_CTX, build_codes
     from vecpress.session import ship_package
     from vecpress.sources import vecs
 
@@ -38,6 +40,25 @@ def register(spark: SparkSession) -> None:
             for i, row in enumerate(vecs.read_rows(path)):
                 yield i, [float(x) for x in row]
 
+    @F.udtf(returnType="place bigint, codes array<int>")
+    class huffman_decode:
+        """Vectors of a chunk's stream. ``books`` has for each part the codes of symbols by context:
+        -1 alone for codes without context, else that of the vector before, the first vector raw."""
+
+        def eval(self, data: bytes, n_bits: int, books: list):
+            if data is None or n_bits is None or books is None:
+                return
+            by = {(part, ctx): codes for part, book in enumerate(books) for ctx, codes in book.items()}
+            d, none = Decoder(unpack_bits(bytes(data), n_bits), by), [NO_CTX] * len(books)
+            before = none if all(set(book) == {NO_CTX} for book in books) else None
+            place = 0
+            while d.at < n_bits:
+                row = [d.raw() for _ in books] if before is None else d.row(before)
+                before = none if before is none else row
+                yield place, row
+                place += 1
+
     spark.udf.register("huffman_codes", huffman_codes)
+    spark.udtf.register("huffman_decode", huffman_decode)
     spark.udtf.register("vecs_scan", vecs_scan)
     vecs.register(spark)

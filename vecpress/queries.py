@@ -498,6 +498,24 @@ def sql_huffman(spark, sf_dir):
         select cast(part as bigint) as part, huffman_cost(counts) as bits, cast(aggregate(sequence(0, {CENTROIDS - 1}), 0L, (s, i) -> s + counts[i] * coalesce(length(codes[i]), 0)) as bigint) as coded from c""")
 
 
+@query(f"{REC}{CODES} SELECT vec_id, codes[1]::BIGINT AS first, codes[{PARTS}]::BIGINT AS last, list_sum(codes)::BIGINT AS total FROM arrays")
+def sql_huffman_decode(spark, sf_dir):
+    """Chained chunks of a hundred vectors, decoded by the SQL table function."""
+    from vecpress.plans import sql
+
+    sql.register(spark)
+    codes = materialize(_codes(spark, sf_dir).select("vec_id", "codes"), "codes")
+    book = materialize(huffman.codebooks(huffman.chained_hist(codes, "sorted")), "book")
+    materialize(codec.encode_chained(codes, book, "sorted", 100), "chunks").createOrReplaceTempView("vecpress_chunks")
+    book.createOrReplaceTempView("vecpress_book")
+    return spark.sql("""
+        with c as (select part, ctx, map_from_entries(collect_list(struct(symbol, code))) as codes from vecpress_book group by part, ctx),
+        p as (select part, map_from_entries(collect_list(struct(ctx, codes))) as book from c group by part),
+        b as (select transform(array_sort(collect_list(struct(part, map_entries(book) as e)), (x, y) -> x.part - y.part), x -> map_from_entries(x.e)) as books from p)
+        select k.vec_ids[d.place] as vec_id, cast(d.codes[0] as bigint) as first, cast(element_at(d.codes, -1) as bigint) as last, aggregate(d.codes, 0L, (s, x) -> s + x) as total
+        from vecpress_chunks k cross join b, lateral huffman_decode(k.data, k.n_bits, b.books) d""")
+
+
 @query(f"WITH {NN} SELECT vec_id, rank, nbr_id, round(dist, 4) AS dist FROM nn")
 def neighbour_files_roundtrip(spark, sf_dir):
     """Exact neighbours written as files of the exchange format, in three parts, and read back."""
