@@ -177,6 +177,20 @@ def test_codes_longer_than_a_window(spark):
             cut.symbol(0)
 
 
+def test_spread_start(spark, points):
+    v = table(spark, points)
+    a, b = (pq.spread_vectors(v, 2, 8, seed=3) for _ in range(2))
+    assert (a == b).all() and a.shape == (2, 8, points.shape[1] // 2)
+    own = {tuple(np.float64(x)) for x in points[:, : points.shape[1] // 2].astype(np.float32)}
+    assert all(tuple(c) in own for c in a[0]) and len({tuple(c) for c in a[0]}) == 8
+    few = pq.spread_vectors(v, 2, 8, seed=3, sample=40)
+    assert few.shape == a.shape
+    e0, e5 = (pq.quantization_error(pq.encode(v, pq.lloyd(v, 2, 8, k, "spread", 3))).first()[0] for k in (0, 5))
+    assert e5 <= e0
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(5)], "vec_id long, embedding array<float>")
+    assert (pq.spread_vectors(same, 1, 3) == [1.0, 2.0]).all()
+
+
 def test_selection_and_child_report(spark, points):
     v = table(spark, points)
     assert knn.by_id(v, v.filter("vec_id in (3, 5)")).count() == 2

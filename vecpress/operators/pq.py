@@ -31,6 +31,37 @@ def first_vectors(vectors: DataFrame, parts: int, centroids: int = 256) -> np.nd
     return m.reshape(len(m), parts, -1).transpose(1, 0, 2).copy()
 
 
+def spread_vectors(vectors: DataFrame, parts: int, centroids: int = 256, seed: int = 0, sample: int = 65_536) -> np.ndarray:
+    """The k-means++ start: each next centroid of a part is drawn with a chance in proportion to its squared
+    distance to the nearest one so far.
+
+    It is drawn on the driver from about ``sample`` vectors, those with the smallest hashes of id and
+    seed (from all of them where there are no more); the steps that follow use every vector. Fewer
+    distinct vectors than centroids leave repeated centroids.
+    """
+    n = vectors.count()
+    some = vectors.select("vec_id", "embedding")
+    if n > sample:
+        some = some.filter(F.xxhash64(F.col("vec_id").cast("long"), F.lit(seed)) < F.lit(int(-(2**63) + 2**64 * (sample / n))))
+    rows = some.toArrow().sort_by("vec_id")
+    if not len(rows):
+        raise ValueError("no vectors to quantize")
+    m = matrix(rows.column("embedding").combine_chunks()).astype(np.float64)
+    if m.shape[1] % parts:
+        raise ValueError(f"{m.shape[1]} dimensions can't be split into {parts} equal parts")
+    rng, sub = np.random.default_rng(seed), m.reshape(len(m), parts, -1)
+    book = np.empty((parts, centroids, sub.shape[2]))
+    for p in range(parts):
+        x, near = sub[:, p], np.full(len(m), np.inf)
+        pick = int(rng.integers(len(x)))
+        for c in range(centroids):
+            book[p, c] = x[pick]
+            near = np.minimum(near, ((x - x[pick]) ** 2).sum(axis=1))
+            total = near.sum()
+            pick = int(rng.choice(len(x), p=near / total)) if total > 0 else int(rng.integers(len(x)))
+    return book
+
+
 def assign(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nearest centroid of each part of each vector (ties: the smaller id), and the squared distances."""
     parts, k, w = book.shape
@@ -62,10 +93,13 @@ def _sums(book: np.ndarray):
     return run
 
 
-def lloyd(vectors: DataFrame, parts: int, centroids: int = 256, iterations: int = 10) -> np.ndarray:
-    """A codebook after ``iterations`` steps from the first vectors. An empty cluster keeps its centroid."""
+def lloyd(vectors: DataFrame, parts: int, centroids: int = 256, iterations: int = 10, start: str = "first", seed: int = 0) -> np.ndarray:
+    """A codebook after ``iterations`` steps from the ``first`` vectors or from a ``spread`` start (k-means++).
+
+    An empty cluster keeps its centroid.
+    """
     ship_package(vectors.sparkSession)
-    book = first_vectors(vectors, parts, centroids)
+    book = {"first": lambda: first_vectors(vectors, parts, centroids), "spread": lambda: spread_vectors(vectors, parts, centroids, seed)}[start]()
     for _ in range(iterations):
         partial = vectors.select("embedding").mapInArrow(_sums(book), "part int, centroid_id int, n long, sums array<double>")
         exploded = partial.select("part", "centroid_id", "n", F.posexplode("sums").alias("pos", "v"))

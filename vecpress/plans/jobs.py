@@ -19,9 +19,9 @@ def nn_fast(vectors: DataFrame, k: int = 50, dims: int = 5, n_blocks: int = 3, o
     return new if old is None else knn.merge_nn(old, new, k)
 
 
-def quantize(vectors: DataFrame, parts: int, centroids: int = 256, iterations: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+def quantize(vectors: DataFrame, parts: int, centroids: int = 256, iterations: int = 10, start: str = "first", seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Codes, centroids and the error."""
-    book = pq.lloyd(vectors, parts, centroids, iterations)
+    book = pq.lloyd(vectors, parts, centroids, iterations, start, seed)
     encoded = pq.encode(vectors, book)
     return encoded.select("vec_id", "codes"), pq.centroid_table(vectors.sparkSession, book), pq.quantization_error(encoded)
 

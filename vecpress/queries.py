@@ -411,6 +411,16 @@ def mutual_neighbours(spark, sf_dir):
     return nn.join(back, ["vec_id", "nbr_id"], "left").groupBy("vec_id").agg(F.sum(F.coalesce("near", F.lit(0))).cast("long").alias("mutual"))
 
 
+@query()
+def pq_trained(spark, sf_dir):
+    """Codes' error and bits with trained codebooks: 256 centroids, 10 steps. SQL is too slow for it; a test holds it against plain loops."""
+    from vecpress.plans import jobs
+
+    codes, _, error = jobs.quantize(_vectors(spark, sf_dir), PARTS)
+    bits = huffman.part_cost(huffman.order0_hist(materialize(codes, "codes"))).agg(F.sum("bits").cast("long").alias("bits"))
+    return error.select(F.round("pq_error", 6).alias("pq_error")).join(bits)  # one row each
+
+
 # -- coding ----------------------------------------------------------------------------------------------------------
 
 
