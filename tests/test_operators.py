@@ -6,6 +6,7 @@ from vecpress.operators import blocks, codec, compare, graph, huffman, knn, pq
 from vecpress.operators.components import components
 from vecpress.operators.positions import with_position
 from vecpress.plans import jobs
+from vecpress.sources import files
 
 
 def table(spark, x, ids=None):
@@ -191,6 +192,30 @@ def test_spread_start(spark, points):
     assert (pq.spread_vectors(same, 1, 3) == [1.0, 2.0]).all()
 
 
+def test_all_jobs_in_a_chain(spark, points):
+    rows = {r.mode: r for r in jobs.run_chain(table(spark, points), 3, k=4, take=2, penalty=0.5, centroids=6, iterations=3, exact=True).collect()}
+    assert set(rows) == {"order0", "chained", "tree"}
+    assert all(r.mismatches == 0 and r.num_vectors == 120 and 0 < r.compression_rate < 1 for r in rows.values())
+
+
+@pytest.mark.parametrize("mode", ["order0", "chained", "tree"])
+def test_stream_files(spark, points, tmp_path, mode):
+    codes = codes_of(spark)
+    tree = None
+    if mode == "tree":
+        nn = knn.exact_knn(table(spark, points[:90]), 2)
+        tree = graph.tree_order(codes, graph.spanning_forest(graph.candidate_edges(nn, 2, codes, 0.5)))
+    _, book, chunks = jobs.huffman_encode(codes, 3, context=mode == "chained", tree=tree, chunk_rows=16, tree_chunk_rows=16)
+    data, counts = str(tmp_path / "data"), str(tmp_path / "counts") if tree else None
+    files.save_streams(chunks, data, counts)
+    with pytest.raises(FileExistsError):
+        files.save_streams(chunks, data, counts)
+    back = files.load_streams(spark, data, counts)
+    assert back.agg(F.sum("n")).first()[0] == 90 and back.count() == 6
+    want, got = (sorted((r.chunk, r.place, list(r.codes)) for r in codec.decode(c, book, mode, 3, tree).collect()) for c in (chunks, back))
+    assert want == got
+
+
 def test_selection_and_child_report(spark, points):
     v = table(spark, points)
     assert knn.by_id(v, v.filter("vec_id in (3, 5)")).count() == 2

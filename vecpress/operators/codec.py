@@ -226,11 +226,12 @@ def _decode(sent, mode: str, parts: int):
         count_tables = prefix_tables({(0, huffman.NO_CTX): counts_book}) if mode == "tree" else None
         for pdf in batches:
             for r in pdf.itertuples():
-                d = Decoder(unpack_bits(r.data, r.n_bits), books, tables)
+                known = not pd.isna(r.n_bits)  # streams from files are filled up to a byte
+                d = Decoder(unpack_bits(r.data, int(r.n_bits) if known else None), books, tables)
                 rows: list[list[int]] = []
                 parent: list[int | None] = []
                 if mode == "tree":
-                    c = Decoder(unpack_bits(r.counts, r.counts_bits), {}, count_tables)
+                    c = Decoder(unpack_bits(r.counts), {}, count_tables)
                     parent = parents_from_counts([c.symbol(0) for _ in range(r.n)])
                 for i in range(r.n):
                     if mode == "order0":
@@ -238,15 +239,19 @@ def _decode(sent, mode: str, parts: int):
                         continue
                     before = rows[parent[i]] if mode == "tree" and parent[i] is not None else rows[-1] if mode == "chained" and rows else None
                     rows.append([d.raw() for _ in range(parts)] if before is None else d.row(before))
-                if d.at != r.n_bits:
+                if d.end - d.at > (0 if known else 7):
                     raise ValueError("bits are left over")
-                yield pd.DataFrame({"chunk": r.chunk, "place": range(r.n), "vec_id": list(r.vec_ids), "codes": rows})
+                ids = [None] * r.n if r.vec_ids is None else list(r.vec_ids)
+                yield pd.DataFrame({"chunk": r.chunk, "place": range(r.n), "vec_id": pd.array(ids, "Int64"), "codes": rows})
 
     return run
 
 
 def decode(chunks: DataFrame, book: DataFrame, mode: str, parts: int, tree: DataFrame | None = None) -> DataFrame:
-    """``chunk, place, vec_id, codes`` from ``chunks``; ``mode`` is order0, chained or tree."""
+    """``chunk, place, vec_id, codes`` from ``chunks``; ``mode`` is order0, chained or tree.
+
+    Streams from files have no ids and no number of bits: their vec_id is null, and fewer than 8 bits may be left.
+    """
     spark = chunks.sparkSession
     ship_package(spark)
     counts = child_count_codes(tree) if mode == "tree" else None

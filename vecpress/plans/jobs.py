@@ -76,6 +76,22 @@ def huffman_decode(chunks: DataFrame, book: DataFrame, mode: str, parts: int, tr
     return out if check is None else codec.mismatches(out, check)
 
 
+def run_chain(vectors: DataFrame, parts: int, k: int = 50, take: int = 5, penalty: float = 0.0, centroids: int = 256, iterations: int = 10, exact: bool = False) -> DataFrame:
+    """All jobs, one after another: quantize, find neighbours, build the tree, code without context, chained and
+    along the tree, decode and check. A row for each coding: ``mode, num_vectors, bits, compression_rate, mismatches``."""
+    codes = materialize(quantize(vectors, parts, centroids, iterations)[0], "codes")
+    nn = materialize(nn_exact(vectors, k) if exact else nn_fast(vectors, k), "nn")
+    tree = materialize(spanning_tree(nn, take, codes, penalty, vectors=vectors)[1], "tree")
+    out: DataFrame | None = None
+    for mode in ("order0", "chained", "tree"):
+        own = tree if mode == "tree" else None
+        report, book, chunks = huffman_encode(codes, parts, context=mode == "chained", tree=own)
+        checked = huffman_decode(materialize(chunks, "chunks"), book, mode, parts, own, codes)
+        row = report.select(F.lit(mode).alias("mode"), "num_vectors", "bits", "compression_rate").join(checked)  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def compare_nn(exact: DataFrame, fast: DataFrame, k: int) -> DataFrame:
     n = exact.agg(F.countDistinct("vec_id")).first()[0]
     return compare.compare_json(exact, fast, n, k)

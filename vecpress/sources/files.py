@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
 from collections.abc import Mapping
 
 import numpy as np
@@ -201,6 +203,50 @@ def load_tree(spark: SparkSession, path: str, rows: int = 1 << 20) -> DataFrame:
     return ranges.repartition(max(1, ranges.count())).mapInArrow(run, "source long, target long")
 
 
+def save_streams(chunks: DataFrame, path: str, counts_path: str | None = None) -> None:
+    """A file ``<chunk>.bin`` of each coded chunk: the number of its vectors, then its bits, filled up to a byte.
+
+    ``counts_path`` gets those of a tree's numbers of children. The folders must be ones that executors
+    can open and hold no streams yet. A file appears whole or not at all, so tasks may run again.
+    """
+    folders = [(path, "data")] + ([(counts_path, "counts")] if counts_path else [])
+    for folder, _ in folders:
+        os.makedirs(folder, exist_ok=True)
+        if any(f.endswith(".bin") for f in os.listdir(folder)):
+            raise FileExistsError(f"{folder} holds streams")
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                for folder, column in folders:
+                    part = f"{folder}/.{r['chunk']}-{uuid.uuid4().hex}"
+                    with open(part, "wb") as f:
+                        f.write(struct.pack("<Q", r["n"]) + r[column])
+                    os.replace(part, f"{folder}/{r['chunk']}.bin")
+            yield b.select(["chunk"])
+
+    ship_package(chunks.sparkSession)
+    done = chunks.select("chunk", "n", "data", "counts").mapInArrow(run, "chunk long")
+    done.write.format("noop").mode("overwrite").save()
+
+
+def load_streams(spark: SparkSession, path: str, counts_path: str | None = None) -> DataFrame:
+    """Chunks, as ``codec.decode`` reads them, from folders of streams: without ids, with bits filled up to a byte."""
+
+    def streams(folder: str, name: str) -> DataFrame:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder)
+        head = F.hex(F.substring("content", 1, 8))
+        n = F.conv(F.concat(*[F.substring(head, i, 2) for i in range(15, 0, -2)]), 16, 10).cast("long")
+        return files.select(F.regexp_extract("path", r"(\d+)\.bin$", 1).cast("long").alias("chunk"), n.alias("n"), F.expr("substring(content, 9)").alias(name))
+
+    rows = streams(path, "data")
+    counts = F.lit(None).cast("binary").alias("counts")
+    if counts_path:
+        rows, counts = rows.join(streams(counts_path, "counts").drop("n"), "chunk", "left"), F.col("counts")
+    none = F.lit(None)
+    return rows.select("chunk", "n", none.cast("long").alias("n_bits"), "data", none.cast("array<long>").alias("vec_ids"), counts, none.cast("long").alias("counts_bits"))
+
+
 def load_books(spark: SparkSession, path: str, prefix: bool = True) -> DataFrame:
     """``part, ctx, symbol, bit_length, code`` of a file of codebooks, whose size depends on the alphabet alone."""
     rows = []
