@@ -35,6 +35,11 @@ def test_trained_codebooks_against_plain_loops(spark):
     assert (got.bits, round(got.pq_error, 5)) == (bits, round(error / n, 5))
 
 
+def test_neighbour_files_round_as_doubles(spark):
+    sf = "/root/testdata/sf0.01"  # two of its distances round to other decimals as 32-bit floats
+    assert assert_same(QUERIES["neighbour_files_roundtrip"](spark, sf), ORACLES["neighbour_files_roundtrip"], sf) == 2500
+
+
 def test_flagship(spark, sf):
     rows = flagship(spark, sf).collect()
     assert len(rows) == 8 and all(0 < r.compression_rate < 1 for r in rows)

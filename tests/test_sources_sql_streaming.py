@@ -94,6 +94,16 @@ def test_interchange_files(tmp_path):
     assert files.read_stream(s) == (2**40, "10110000")
 
 
+def test_neighbour_files_keep_doubles(spark, tmp_path):
+    rows = [(0, 1, 1, 0.12345), (0, 2, 2, 1e300), (1, 1, 2, 1.37654999999), (1, 2, 0, float("inf")), (2, 1, 1, 1e-300)]
+    nn = spark.createDataFrame(rows, "vec_id long, rank int, nbr_id long, dist double")
+    i, d, r = (str(tmp_path / x) for x in "idr")
+    files.save_neighbours(spark.range(4).withColumnRenamed("id", "vec_id"), nn, 2, i, d, 2, r)
+    assert sorted(tuple(x) for x in files.load_neighbours(spark, i, d, r).collect()) == rows
+    short = [(*x[:3], float(np.float32(min(x[3], 1e39)))) for x in rows]
+    assert sorted(tuple(x) for x in files.load_neighbours(spark, i, d).collect()) == short
+
+
 def test_long_codes_survive_a_book_file(tmp_path):
     a, b = 1, 1
     counts = []

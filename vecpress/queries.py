@@ -528,14 +528,17 @@ def sql_huffman_decode(spark, sf_dir):
 
 @query(f"WITH {NN} SELECT vec_id, rank, nbr_id, round(dist, 4) AS dist FROM nn")
 def neighbour_files_roundtrip(spark, sf_dir):
-    """Exact neighbours written as files of the exchange format, in three parts, and read back."""
+    """Exact neighbours written as files of the exchange format, in three parts, and read back.
+
+    The format's distances are 32-bit floats, which round to other decimals now and then; a file beside them holds the rest.
+    """
     from vecpress.session import shared_dir
     from vecpress.sources import files
 
     root = tempfile.mkdtemp(prefix="nn-", dir=_made(shared_dir(spark)))
     v = _vectors(spark, sf_dir)
-    files.save_neighbours(v, _exact(spark, sf_dir), K, f"{root}/ids", f"{root}/dist", 3)
-    nn = materialize(files.load_neighbours(spark, f"{root}/ids", f"{root}/dist"), "nn")
+    files.save_neighbours(v, _exact(spark, sf_dir), K, f"{root}/ids", f"{root}/dist", 3, f"{root}/rest")
+    nn = materialize(files.load_neighbours(spark, f"{root}/ids", f"{root}/dist", f"{root}/rest"), "nn")
     shutil.rmtree(root)
     return nn.select("vec_id", F.col("rank").cast("long").alias("rank"), "nbr_id", F.round("dist", 4).alias("dist"))
 

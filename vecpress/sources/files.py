@@ -141,19 +141,34 @@ def read_grid(path: str) -> tuple[list[tuple[int, int, float, float]], int, int,
 # -- as tables -----------------------------------------------------------------------------------------
 
 
-def load_neighbours(spark: SparkSession, ids_path: str, dist_path: str) -> DataFrame:
-    """``vec_id, rank, nbr_id, dist`` from files or folders of light files, without missing neighbours."""
+def load_neighbours(spark: SparkSession, ids_path: str, dist_path: str, rest_path: str | None = None) -> DataFrame:
+    """``vec_id, rank, nbr_id, dist`` from files or folders of light files, without missing neighbours.
+
+    Distances are as exact as 32-bit floats; with ``rest_path`` they are the doubles that were saved.
+    """
     vecs.register(spark)
     ids, dist = (spark.read.format("vecs").option("path", p).load() for p in (ids_path, dist_path))
     both = ids.join(dist.select("vec_id", F.col("embedding").alias("dist")), "vec_id")
-    rows = both.select("vec_id", F.posexplode(F.arrays_zip(F.col("embedding").alias("i"), F.col("dist").alias("d"))).alias("at", "x"))
+    lists = [F.col("embedding").alias("i"), F.col("dist").alias("d")]
+    if rest_path:
+        rest = spark.read.format("vecs").option("path", rest_path).load()
+        both = both.join(rest.select("vec_id", F.col("embedding").alias("rest")), "vec_id")
+        lists.append(F.col("rest").alias("r"))
+    rows = both.select("vec_id", F.posexplode(F.arrays_zip(*lists)).alias("at", "x"))
     nbr = F.col("x.i").cast("long").bitwiseAND(F.lit(MISSING))
-    return rows.select("vec_id", (F.col("at") + 1).cast("int").alias("rank"), nbr.alias("nbr_id"), F.col("x.d").cast("double").alias("dist")).filter(F.col("nbr_id") != MISSING)
+    near = F.col("x.d").cast("double")
+    if rest_path:
+        near = F.when(near == float("inf"), F.col("x.r")).otherwise(near + F.col("x.r"))
+    return rows.select("vec_id", (F.col("at") + 1).cast("int").alias("rank"), nbr.alias("nbr_id"), near.alias("dist")).filter(F.col("nbr_id") != MISSING)
 
 
-def save_neighbours(vectors: DataFrame, nn: DataFrame, k: int, ids_path: str, dist_path: str, parts: int = 1) -> None:
+def save_neighbours(vectors: DataFrame, nn: DataFrame, k: int, ids_path: str, dist_path: str, parts: int = 1, rest_path: str | None = None) -> None:
     """``nn(vec_id, rank, nbr_id, dist)`` as two folders of light files, a row for each of ``vectors(vec_id)``
-    by ascending vec_id, which should be 0, 1, ... Lists are filled up with missing neighbours."""
+    by ascending vec_id, which should be 0, 1, ... Lists are filled up with missing neighbours.
+
+    The format's distances are 32-bit floats. ``rest_path`` gets a third folder, of what each lacks of
+    its double (the double itself where the float is infinite), so that nothing is lost.
+    """
     vecs.register(vectors.sparkSession)
     near = nn.filter(F.col("rank") <= k).groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("rank", "nbr_id", "dist"))).alias("l"))
     rows = vectors.select("vec_id").join(near, "vec_id", "left").withColumn("l", F.coalesce("l", F.array().cast("array<struct<rank:int,nbr_id:bigint,dist:double>>")))
@@ -161,11 +176,16 @@ def save_neighbours(vectors: DataFrame, nn: DataFrame, k: int, ids_path: str, di
     def filled(values, missing):
         return F.concat(values, F.array_repeat(missing, F.lit(k) - F.size("l")))
 
+    def lacking(x):
+        held = x["dist"].cast("float").cast("double")
+        return F.when(held == float("inf"), x["dist"]).otherwise(x["dist"] - held)
+
     signed = F.transform("l", lambda x: F.when(x["nbr_id"] > 2**31 - 1, x["nbr_id"] - 2**32).otherwise(x["nbr_id"]).cast("int"))
-    placed = rows.select("vec_id", filled(signed, F.lit(-1)).alias("ids"), filled(F.transform("l", lambda x: x["dist"].cast("float")), F.lit(float("inf")).cast("float")).alias("dist"))
+    placed = rows.select("vec_id", filled(signed, F.lit(-1)).alias("ids"), filled(F.transform("l", lambda x: x["dist"].cast("float")), F.lit(float("inf")).cast("float")).alias("dist"), filled(F.transform("l", lacking), F.lit(0.0)).alias("rest"))
     placed = placed.repartitionByRange(parts, "vec_id").sortWithinPartitions("vec_id")
-    for column, path, kind in (("ids", ids_path, "ivecsl"), ("dist", dist_path, "fvecsl")):
-        placed.select("vec_id", F.col(column).alias("embedding")).write.format("vecs").option("path", path).option("kind", kind).mode("overwrite").save()
+    for column, path, kind in (("ids", ids_path, "ivecsl"), ("dist", dist_path, "fvecsl"), ("rest", rest_path, "dvecsl")):
+        if path:
+            placed.select("vec_id", F.col(column).alias("embedding")).write.format("vecs").option("path", path).option("kind", kind).mode("overwrite").save()
 
 
 def _tree_ranges(path: str, rows: int) -> list[tuple[int, int, int, int, int]]:

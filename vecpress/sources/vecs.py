@@ -1,6 +1,6 @@
 """Vector files as a Spark data source: ``spark.read.format("vecs")`` after ``register(spark)``.
 
-Rows of ``fvecs``, ``ivecs``, ``bvecs`` and ``lvecs`` files carry their length before them; the
+Rows of ``fvecs``, ``ivecs``, ``bvecs``, ``lvecs`` and ``dvecs`` (doubles) files carry their length before them; the
 light forms (``fvecsl`` and so on) have one header of the numbers of rows and of dimensions. A file
 is read in ranges of rows, each a partition's. Paths are ones that executors can open: a shared
 mount, or a local folder of a single machine.
@@ -23,7 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 # kind -> numpy type, Spark type; the light forms end with l: fixed values
-KINDS = {"f": ("<f4", "float"), "i": ("<i4", "int"), "b": ("u1", "short"), "l": ("<i8", "long")}
+KINDS = {"f": ("<f4", "float"), "i": ("<i4", "int"), "b": ("u1", "short"), "l": ("<i8", "long"), "d": ("<f8", "double")}
 #: Rows of a partition.
 ROWS = 131_072
 
