@@ -248,3 +248,46 @@ def test_report_and_dump(spark):
     assert r.bits == bits and abs(r.compression_rate - bits / (90 * 3 * 8)) < 1e-12
     assert '"num_vectors":90' in huffman.stats_json(spark.createDataFrame([r])).first()[0]
     assert huffman.dump(huffman.codebooks(huffman.order0_hist(codes))).count() > 0
+
+
+def odd_vectors():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(40, 4)) + 1000
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    rows += [(50, rows[3][1]), (51, [v + 1e-6 for v in rows[3][1]]), (7, [0.0, 0.0, 0.0, 1.0]), (7, rows[7][1])]  # copies, one id twice
+    rows += [(60, None), (61, [1.0, None, 2.0, 3.0]), (62, [1.0]), (63, [2.5]), (64, []), (None, rows[0][1])]
+    rows += [(70, [float("nan"), 0.0, 0.0, 0.0]), (71, [float("inf"), 0.0, 0.0, 0.0]), (72, [1e120, 0.0, 0.0, 0.0])]
+    return rows
+
+
+@pytest.mark.parametrize(("rows", "tiles"), [(odd_vectors(), 1), (odd_vectors(), 3), (odd_vectors()[:44], None), (odd_vectors()[:1], None), ([], None), ([(i, [1e6, 0.1]) for i in range(700)], None)])
+def test_distance_totals_against_all_pairs(spark, rows, tiles):
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    plain = knn.self_distances(v).groupBy("vec_id").agg(F.count("*").alias("n"), F.sum("dist").alias("sum_dist"), F.min("dist").alias("min_dist"))
+    want = {r.vec_id: r for r in plain.collect()}
+    got = {r.vec_id: r for r in knn.distance_totals(v, tiles).collect()}
+    assert got.keys() == want.keys()
+    for i, w in want.items():
+        assert got[i].n == w.n and (got[i].sum_dist is None) == (got[i].min_dist is None) == (w.min_dist is None)
+        if w.min_dist is not None:
+            np.testing.assert_allclose([got[i].sum_dist, got[i].min_dist], [w.sum_dist, w.min_dist], rtol=1e-9, atol=1e-18)
+
+
+def test_distance_totals_of_near_copies_in_blocks():
+    x = np.random.default_rng(8).normal(size=(1300, 3)) * 1e5
+    x = np.concatenate([x, x[:1200] + 1e-4])  # products lose these distances
+    ids = np.arange(len(x))
+    out, other = knn._Totals(1300), knn._Totals(1200)
+    knn._compare((ids[:1300], x[:1300], ids[:1300], True), (ids[:1200], x[1300:], ids[1300:], True), out, other)
+    d = ((x[:1300, None] - x[None, 1300:]) ** 2).sum(axis=2)
+    for t, axis in ((out, 1), (other, 0)):
+        np.testing.assert_allclose(t.least, d.min(axis=axis), rtol=1e-12)
+        np.testing.assert_allclose(t.sum, d.sum(axis=axis), rtol=1e-12)
+        assert set(t.seen) == {d.shape[axis]}
+
+
+def test_self_join_query_lists_no_pairs(spark, sf):
+    from vecpress.queries import QUERIES
+
+    plan = QUERIES["l2_self_join"](spark, sf)._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan

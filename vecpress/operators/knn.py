@@ -6,10 +6,12 @@ neighbours are absent rows. Ties go to the smaller id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ from vecpress.session import ship_package
 #: Bytes of vectors that may be sent to every task; larger tables are compared tile by tile.
 SEND_BYTES = 64 << 20
 NN = "vec_id long, nbr_id long, dist double"
+TOTALS = "vec_id long, n long, sum_dist double, min_dist double"
+#: Rows of either side of a block of distances, which should stay in a core's cache.
+BLOCK = (512, 2048)
+#: Greatest relative error of a least distance that isn't settled by a comparison of all near ones.
+LOSS = 1e-10
 
 
 def by_id(vectors: DataFrame, ids: DataFrame) -> DataFrame:
@@ -40,7 +47,7 @@ def merge_nn(old: DataFrame, new: DataFrame, k: int) -> DataFrame:
 
 
 def self_distances(vectors: DataFrame) -> DataFrame:
-    """All ordered pairs of different vectors with their distances, in SQL expressions alone."""
+    """All ordered pairs of different vectors with their distances, in SQL expressions alone: a row for each pair, so for small tables."""
     b = vectors.select(F.col("vec_id").alias("nbr_id"), F.col("embedding").alias("other"))
     return vectors.join(b, F.col("vec_id") != F.col("nbr_id")).select("vec_id", "nbr_id", l2_sq("embedding", "other").alias("dist"))
 
@@ -145,6 +152,145 @@ def exact_knn(vectors: DataFrame, k: int, tiles: int | None = None, send_bytes:
     return top_k(pairs, k)
 
 
+class _Totals:
+    """Sum, least and number of the distances of a tile's rows so far. Least is NaN where there is none but NaN."""
+
+    def __init__(self, n: int):
+        self.sum, self.least, self.seen = np.zeros(n), np.full(n, np.nan), np.zeros(n, np.int64)
+
+    def add(self, at: np.ndarray, total: np.ndarray, least: np.ndarray, seen) -> None:
+        self.sum[at] += total
+        self.least[at] = np.fmin(self.least[at], least)
+        self.seen[at] += seen
+
+    def table(self, ids: np.ndarray, n: np.ndarray) -> pa.Table:
+        some = n > 0
+        none = self.seen[some] == 0
+        values = [pa.array(ids[some], pa.int64()), pa.array(n[some], pa.int64()), *(pa.array(x[some], pa.float64(), mask=none) for x in (self.sum, self.least))]
+        return pa.table(values, names=["vec_id", "n", "sum_dist", "min_dist"])
+
+
+def _by_length(column: pa.Array) -> dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]]:
+    """(length, whether all numbers are small enough to be squared and added) -> places and vectors as doubles.
+
+    Vectors that are null or hold a null have no distances.
+    """
+    size = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
+    flat = column.flatten()
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+    if flat.null_count:
+        size[np.repeat(np.arange(len(size)), np.maximum(size, 0))[flat.is_null().to_numpy(zero_copy_only=False)]] = -1
+    out = {}
+    for d in np.unique(size[size >= 0]).tolist():
+        at = np.flatnonzero(size == d)
+        m = values[start[at][:, None] + np.arange(d)]
+        plain = (np.abs(m) < 1e100).all(axis=1)
+        for kind in (True, False):
+            if (plain == kind).any():
+                out[d, kind] = at[plain == kind], m[plain == kind]
+    return out
+
+
+def _least(d: np.ndarray, q: np.ndarray, r: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Each row's least distance, term by term, from the products ``d`` that are wrong by ``off`` at most.
+
+    The nearest by product may differ from the nearest only by rounding; where that counts, all that could be nearest are compared.
+    """
+    at = d.argmin(axis=1)
+    low = d[np.arange(len(d)), at]
+    out = ((q - r[at]) ** 2).sum(axis=1)
+    for i in np.flatnonzero((2 * off > LOSS * out) & (out > 0) & (low < np.inf)):
+        out[i] = ((q[i] - r[d[i] <= low[i] + 2 * off[i]]) ** 2).sum(axis=1).min()
+    return np.where(low < np.inf, out, np.nan)
+
+
+def _compare(q: tuple, r: tuple, q_out: _Totals, r_out: _Totals | None = None) -> None:
+    """Add the distances of ``q`` to ``r`` (places, vectors, ids, fit for products) with other ids to ``q_out``, and to ``r_out`` the other way round if it is given."""
+    (q_at, q_all, q_ids, q_fit), (r_at, r_all, r_ids, r_fit) = q, r
+    first, last = np.searchsorted(r_ids, q_ids), np.searchsorted(r_ids, q_ids, "right")  # ids are sorted
+    fit = q_fit and r_fit
+    if fit:  # about their mean, where products lose least
+        mean = (q_all.sum(axis=0) + r_all.sum(axis=0)) / (len(q_all) + len(r_all))
+        left, right = q_all - mean, r_all - mean
+        l_sq, r_sq = (left**2).sum(axis=1), (right**2).sum(axis=1)
+        left = np.column_stack([-2 * left, l_sq, np.ones(len(left))])
+        right = np.column_stack([right, np.ones(len(right)), r_sq])
+        l_off, r_off, eps = np.sqrt(l_sq), np.sqrt(r_sq), (left.shape[1] + 2) * np.finfo(float).eps
+    rows, columns = BLOCK if fit else (16, 1024)
+    for i in range(0, len(q_all), rows):
+        a, a_at = q_all[i : i + rows], q_at[i : i + rows]
+        for j in range(0, len(r_all), columns):
+            b, b_at = r_all[j : j + columns], r_at[j : j + columns]
+            lo, hi = np.maximum(first[i : i + rows] - j, 0), np.minimum(last[i : i + rows] - j, len(b))
+            own = [(x, slice(lo[x], hi[x])) for x in np.flatnonzero(lo < hi)]
+            with np.errstate(invalid="ignore", over="ignore"):
+                d = left[i : i + rows] @ right[j : j + columns].T if fit else ((a[:, None] - b[None]) ** 2).sum(axis=2)
+                for x, mine in own:
+                    d[x, mine] = 0
+                total, other = np.maximum(d.sum(axis=1), 0), np.maximum(d.sum(axis=0), 0)
+            for x, mine in own:
+                d[x, mine] = np.inf if fit else np.nan
+            if fit:
+                off = [eps * (l_off[i : i + rows] + r_off[j : j + columns].max()) ** 2, eps * (r_off[j : j + columns] + l_off[i : i + rows].max()) ** 2]
+            q_out.add(a_at, total, _least(d, a, b, off[0]) if fit else np.fmin.reduce(d, axis=1), len(b) - np.maximum(hi - lo, 0))
+            if r_out is not None:
+                r_out.add(b_at, other, _least(np.ascontiguousarray(d.T), b, a, off[1]) if fit else np.fmin.reduce(d, axis=0), len(a))
+
+
+def _pair_totals(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def parts(t: pa.Table) -> tuple[np.ndarray, dict]:
+        t = t.sort_by("vec_id")
+        ids = t.column("vec_id").to_numpy()
+        return ids, {k: (at, m, ids[at], k[1]) for k, (at, m) in _by_length(t.column("embedding").combine_chunks()).items()}
+
+    same = key[0].as_py() == key[1].as_py()
+    ids, mine = parts(left)
+    out = _Totals(len(ids))
+    if same:
+        for a, q in mine.items():
+            for b, r in mine.items():
+                if a[0] == b[0]:
+                    _compare(q, r, out)
+        return out.table(ids, len(ids) - (np.searchsorted(ids, ids, "right") - np.searchsorted(ids, ids)))
+    r_ids, theirs = parts(right)
+    r_out = _Totals(len(r_ids))
+    for a, q in mine.items():
+        for b, r in theirs.items():
+            if a[0] == b[0]:
+                _compare(q, r, out, r_out)
+    return pa.concat_tables([out.table(ids, np.full(len(ids), len(r_ids))), r_out.table(r_ids, np.full(len(r_ids), len(ids)))])
+
+
+def distance_totals(vectors: DataFrame, tiles: int | None = None, tile_bytes: int = SEND_BYTES // 2) -> DataFrame:
+    """``vec_id, n, sum_dist, min_dist`` of all pairs that ``self_distances`` lists, without a row for each pair.
+
+    Vectors are cut into tiles by id hash (of ``tile_bytes`` as doubles at most, or fewer where cores
+    would idle). A pair of tiles is one task's, which takes every distance between them once, from
+    matrix products in blocks, for both tiles; least distances are computed term by term. Rows
+    with the same id are no pairs and share a result; pairs of different lengths, with null vectors or
+    with nulls in them count in ``n`` alone, rows without an id not at all. Work is quadratic, the
+    shuffle is ``tiles`` times the table.
+    """
+    spark = vectors.sparkSession
+    ship_package(spark)
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull())
+    if not tiles:
+        size = v.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+        n, d = size["n"], max(size["d"] or 0, 1)
+        busy = math.isqrt(8 * spark.sparkContext.defaultParallelism)  # four pairs of tiles a core
+        tiles = max(1, -(-n * d * 8 // tile_bytes), min(busy, n // 256))
+    dealt = v.withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int"))
+    # tiles have no id in common, so only a tile with itself has pairs to leave out; it comes once, at the left
+    left = dealt.withColumn("other", F.explode(F.sequence("tile", F.lit(tiles - 1)))).withColumnRenamed("tile", "mine")
+    right = dealt.filter("tile > 0").withColumn("mine", F.explode(F.sequence(F.lit(0), F.col("tile") - 1))).withColumnRenamed("tile", "other")
+    # so many tasks that few have two pairs, by size alone Spark would give several to some; many pairs even out by themselves
+    tasks = min(2 * tiles * (tiles + 1), 10_000)
+    left, right = (x.repartition(tasks, "mine", "other") for x in (left, right))
+    pairs = left.groupBy("mine", "other").cogroup(right.groupBy("mine", "other")).applyInArrow(_pair_totals, TOTALS)
+    return pairs.groupBy("vec_id").agg(F.sum("n").alias("n"), F.sum("sum_dist").alias("sum_dist"), F.min("min_dist").alias("min_dist"))
+
+
 def distance_summary(nn: DataFrame, limit: float | None = None) -> DataFrame:
     """Least, greatest and total distance; with ``limit``, each vector's list ends before its first distance above it."""
     if limit is not None:

@@ -117,8 +117,8 @@ REC = "WITH RECURSIVE "
 
 @query(f"WITH {PAIRS} SELECT vec_id, count(*) AS n, round(sum(dist), 6) AS sum_dist, round(min(dist), 6) AS min_dist FROM pairs GROUP BY vec_id")
 def l2_self_join(spark, sf_dir):
-    d = knn.self_distances(_vectors(spark, sf_dir))
-    return d.groupBy("vec_id").agg(F.count("*").alias("n"), F.round(F.sum("dist"), 6).alias("sum_dist"), F.round(F.min("dist"), 6).alias("min_dist"))
+    d = knn.distance_totals(_vectors(spark, sf_dir))
+    return d.select("vec_id", "n", F.round("sum_dist", 6).alias("sum_dist"), F.round("min_dist", 6).alias("min_dist"))
 
 
 @query(f"WITH {NN} SELECT vec_id, rank, nbr_id, round(dist, 6) AS dist FROM nn")
