@@ -23,7 +23,7 @@ SEND_BYTES = 64 << 20
 NN = "vec_id long, nbr_id long, dist double"
 TOTALS = "vec_id long, n long, sum_dist double, min_dist double"
 #: Rows of either side of a block of distances, which should stay in a core's cache.
-BLOCK = (512, 2048)
+BLOCK = (512, 512)
 #: Greatest relative error of a least distance that isn't settled by a comparison of all near ones.
 LOSS = 1e-10
 
@@ -158,11 +158,17 @@ class _Totals:
     def __init__(self, n: int):
         self.sum, self.least, self.seen = np.zeros(n), np.full(n, np.nan), np.zeros(n, np.int64)
 
-    def add(self, at: np.ndarray, total: np.ndarray, least: np.ndarray, seen) -> None:
+    def add(self, at: np.ndarray, total: np.ndarray, seen) -> None:
         self.sum[at] += total
-        self.least[at] = np.fmin(self.least[at], least)
         self.seen[at] += seen
 
+    def lower(self, at: np.ndarray, least: np.ndarray) -> None:
+        self.least[at] = np.fmin(self.least[at], least)
+
+    def open(self, at: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Which rows' least distances may be undercut by distances of ``low`` or more."""
+        return np.flatnonzero(~(low > self.least[at]))
+
     def table(self, ids: np.ndarray, n: np.ndarray) -> pa.Table:
         some = n > 0
         none = self.seen[some] == 0
@@ -217,6 +223,7 @@ def _compare(q: tuple, r: tuple, q_out: _Totals, r_out: _Totals | None = None) -
         left = np.column_stack([-2 * left, l_sq, np.ones(len(left))])
         right = np.column_stack([right, np.ones(len(right)), r_sq])
         l_off, r_off, eps = np.sqrt(l_sq), np.sqrt(r_sq), (left.shape[1] + 2) * np.finfo(float).eps
+        right_t, held = np.ascontiguousarray(right.T), np.empty(BLOCK)
     rows, columns = BLOCK if fit else (16, 1024)
     for i in range(0, len(q_all), rows):
         a, a_at = q_all[i : i + rows], q_at[i : i + rows]
@@ -225,17 +232,26 @@ def _compare(q: tuple, r: tuple, q_out: _Totals, r_out: _Totals | None = None) -
             lo, hi = np.maximum(first[i : i + rows] - j, 0), np.minimum(last[i : i + rows] - j, len(b))
             own = [(x, slice(lo[x], hi[x])) for x in np.flatnonzero(lo < hi)]
             with np.errstate(invalid="ignore", over="ignore"):
-                d = left[i : i + rows] @ right[j : j + columns].T if fit else ((a[:, None] - b[None]) ** 2).sum(axis=2)
+                d = np.matmul(left[i : i + rows], right_t[:, j : j + columns], out=held[: len(a), : len(b)]) if fit else ((a[:, None] - b[None]) ** 2).sum(axis=2)
                 for x, mine in own:
                     d[x, mine] = 0
-                total, other = np.maximum(d.sum(axis=1), 0), np.maximum(d.sum(axis=0), 0)
+                q_out.add(a_at, np.maximum(d.sum(axis=1), 0), len(b) - np.maximum(hi - lo, 0))
+                if r_out is not None:
+                    r_out.add(b_at, np.maximum(d.sum(axis=0), 0), len(a))
             for x, mine in own:
                 d[x, mine] = np.inf if fit else np.nan
-            if fit:
-                off = [eps * (l_off[i : i + rows] + r_off[j : j + columns].max()) ** 2, eps * (r_off[j : j + columns] + l_off[i : i + rows].max()) ** 2]
-            q_out.add(a_at, total, _least(d, a, b, off[0]) if fit else np.fmin.reduce(d, axis=1), len(b) - np.maximum(hi - lo, 0))
+            if not fit:
+                q_out.lower(a_at, np.fmin.reduce(d, axis=1))
+                if r_out is not None:
+                    r_out.lower(b_at, np.fmin.reduce(d, axis=0))
+                continue
+            off = eps * (l_off[i : i + rows] + r_off[j : j + columns].max()) ** 2
+            x = q_out.open(a_at, d.min(axis=1) - off)
+            q_out.lower(a_at[x], _least(d[x], a[x], b, off[x]))
             if r_out is not None:
-                r_out.add(b_at, other, _least(np.ascontiguousarray(d.T), b, a, off[1]) if fit else np.fmin.reduce(d, axis=0), len(a))
+                off = eps * (r_off[j : j + columns] + l_off[i : i + rows].max()) ** 2
+                x = r_out.open(b_at, d.min(axis=0) - off)
+                r_out.lower(b_at[x], _least(np.ascontiguousarray(d[:, x].T), b[x], a, off[x]))
 
 
 def _pair_totals(key, left: pa.Table, right: pa.Table) -> pa.Table:
